@@ -5,7 +5,11 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _fallback: dict[str, str] = {}
 
@@ -46,3 +50,42 @@ def dropped(df: DataFrame) -> None:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+class Sieve:
+    """A set of long ids as a bit map of bounded size (16 MB at most), to leave most other rows
+    where they are before a join.  It never loses a member; with many ids it lets more others pass.
+    """
+
+    MOST_BITS = 1 << 27
+
+    def __init__(self, ids: DataFrame, column: str = "doc_id"):
+        spark = ids.sparkSession
+        ids = ids.select(F.col(column).cast("long").alias("id"))
+        n = ids.count()
+        bits = 1 << 16
+        while bits < min(16 * n, self.MOST_BITS):
+            bits <<= 1
+        place = F.expr(f"((id ^ shiftright(id, 27)) & {bits - 1}L) + 1")  # bit maps count from 1
+        pieces = ids.dropna().select(place.alias("p")).groupBy(F.expr("bitmap_bucket_number(p)").alias("k")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(p))").alias("b")).collect()
+        whole = np.zeros(bits // 8 + 4096, np.uint8)
+        for r in pieces:
+            whole[(r.k - 1) * 4096 : r.k * 4096] = np.frombuffer(bytes(r.b), np.uint8)
+        self.bits, self.map = bits, spark.sparkContext.broadcast(whole)
+
+    def split(self, df: DataFrame, column: str, member: bool) -> DataFrame:
+        """The rows that may be members, or those that surely aren't; a null id is taken for a member."""
+        shared, bits, k = self.map, self.bits, df.columns.index(column)
+
+        def run(batches):
+            whole = shared.value
+            for batch in batches:
+                ids = batch.column(k)
+                at = ids.cast(pa.int64()).fill_null(0).to_numpy(zero_copy_only=False)
+                # position p is bit p % 8 of byte p // 8, buckets of 32768 bits one after the other
+                p = (at ^ (at >> 27)) & (bits - 1)
+                found = (whole[p >> 3] >> (p & 7).astype(np.uint8)) & 1 == 1
+                found |= ids.is_null().to_numpy(zero_copy_only=False)
+                yield batch.filter(pa.array(found == member))
+
+        return df.mapInArrow(run, T.StructType([T.StructField(f.name, f.dataType, True) for f in df.schema]))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foliant.llm import packing
+from foliant.llm import decontam, packing, substring
 from foliant.llm._shared import table
 
 
@@ -12,8 +12,18 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.deduplicate(table(spark, sf_dir, "documents"), texts=False)
+
+
 QUERIES = {
     "op4_best_fit_packing": op4_best_fit_packing,
+    "op5_benchmark_decontamination": op5_benchmark_decontamination,
+    "op6_substring_dedup": op6_substring_dedup,
 }
 
 ORACLES: dict[str, str] = {}
