@@ -91,13 +91,14 @@ def view(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[: off[-1]], off
 
 
-def slices(off: np.ndarray, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
-    """Runs of documents of about `limit` bytes, at least one document each."""
+def slices(off: np.ndarray, limit: int = SLICE_BYTES, most: int = 1 << 20) -> Iterator[tuple[int, int]]:
+    """Runs of at most `most` documents of about `limit` bytes, at least one document each."""
     i, n = 0, len(off) - 1
     while i < n:
         j = max(i + 1, int(np.searchsorted(off, off[i] + limit, "right")) - 1)
-        yield i, min(j, n)
-        i = min(j, n)
+        j = min(j, n, i + most)
+        yield i, j
+        i = j
 
 
 class Words:
@@ -130,24 +131,28 @@ class Words:
 
     def hashes(self, length: int = 0) -> np.ndarray:
         """64-bit hash of each word, or of its first `length` bytes."""
-        end = self.end if not length else np.minimum(self.end, self.start + length)
-        out, i, n = np.empty(len(self.start), U), 0, len(self.start)
-        while i < n:
-            s = self.start[i]
-            j = max(i + 1, int(np.searchsorted(self.end, s + SLICE_BYTES, "right")))
-            size = int(self.end[j - 1] - s)
-            power, inverse = _tables(max(size + 1, SLICE_BYTES + 1) if size <= SLICE_BYTES else size + 1)
-            total = np.zeros(size + 1, U)
-            np.cumsum(_BYTE[self.bytes[s : s + size]] * power[:size], out=total[1:])
-            a, b = self.start[i:j] - s, end[i:j] - s
-            out[i:j] = mix((total[b] - total[a]) * inverse[a] + (b - a).astype(U))
-            i = j
-        return out
+        return span_hashes(self.bytes, self.start, self.end if not length else np.minimum(self.end, self.start + length))
 
     def text(self, k: int) -> str:
         return self.bytes[self.start[k] : self.end[k]].tobytes().decode()
 
 
+def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hash of the bytes from each start to its end; starts and ends must both ascend."""
+    out, i, n = np.empty(len(start), U), 0, len(start)
+    while i < n:
+        s = start[i]
+        j = max(i + 1, int(np.searchsorted(end, s + SLICE_BYTES, "right")))
+        size = int(end[j - 1] - s)
+        power, inverse = _tables(max(size, SLICE_BYTES) + 1)
+        total = np.zeros(size + 1, U)
+        np.cumsum(_BYTE[data[s : s + size]] * power[:size], out=total[1:])
+        a, b = start[i:j] - s, end[i:j] - s
+        out[i:j] = mix((total[b] - total[a]) * inverse[a] + (b - a).astype(U))
+        i = j
+    return out
+
+
 def grams(h: np.ndarray, n: int) -> np.ndarray:
     """Hashes of each run of n values of h, over document ends too (mask those by Words.left)."""
     m = len(h) - n + 1

@@ -13,7 +13,6 @@ size, one after the other over the same read of the documents, without a shuffle
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -147,21 +146,10 @@ def _found(text: pa.Array, block: Block, each) -> None:
             each(i + d, int(words.n[d]), place[s] - words.first[d], item[s], at[s], length[s])
 
 
-def locate(
-    docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",
-    item_text_col: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES, keep: list[str] | None = None,
-) -> DataFrame:
-    """Longest verbatim matches of benchmark items in each document.
-
-    Returns a row per document: doc_id, n_words, n_hit (words inside a match), matches (item_id,
-    doc_word, item_word, length), and the columns of `docs` named in `keep`.  A null or empty
-    text has no words; rows of `docs` that are alike are judged each; items that are alike all
-    match; an empty benchmark or a null item matches nothing.
-    """
-    blocks = _blocks(benchmark, item_col, item_text_col, window, block_bytes)
-    # the names carry a mark, so that no column of the input can clash with them
-    out = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"), F.lit(None).cast(MATCH).alias("_matches"), F.lit(0).cast("long").alias("_n"), *(F.col(c).alias(f"_keep_{c}") for c in keep or []))
-    for block in blocks:
+def _matched(docs, benchmark, id_col, text_col, item_col, item_text_col, window, block_bytes, keep) -> DataFrame:
+    """_id, _text, _matches, _n (words) and the kept columns as _keep_<name>, so that none can clash."""
+    out = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"), F.lit(None).cast(MATCH).alias("_matches"), F.lit(0).cast("long").alias("_n"), *(F.col(c).alias(f"_keep_{c}") for c in keep))
+    for block in _blocks(benchmark, item_col, item_text_col, window, block_bytes):
         shared = docs.sparkSession.sparkContext.broadcast(block)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
@@ -181,18 +169,28 @@ def locate(
                 yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
 
         out = out.mapInArrow(run, T.StructType([T.StructField(f.name, f.dataType, True) for f in out.schema]))
-    return _digest(out, keep or [])
+    return out
 
 
-def _digest(out: DataFrame, keep: list[str]) -> DataFrame:
-    """n_hit from the matches: words in the union of their spans."""
+def locate(
+    docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",
+    item_text_col: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES,
+) -> DataFrame:
+    """Longest verbatim matches of benchmark items in each document.
+
+    Returns a row per document: doc_id, n_words, n_hit (words inside a match) and matches
+    (item_id, doc_word, item_word, length).  A null or empty text has no words; rows of `docs`
+    that are alike are judged each; items that are alike all match; an empty benchmark or a
+    null item matches nothing; other columns are not read.
+    """
+    out = _matched(docs, benchmark, id_col, text_col, item_col, item_text_col, window, block_bytes, [])
     spans = F.array_sort(F.transform("_matches", lambda m: F.struct(m["doc_word"].alias("a"), (m["doc_word"] + m["length"]).alias("b"))))
     hit = F.aggregate(
         spans, F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).alias("at")),
         lambda s, m: F.struct((s["n"] + F.greatest(F.lit(0), m["b"] - F.greatest(m["a"], s["at"]))).cast("long").alias("n"), F.greatest(s["at"], m["b"]).alias("at")),
         lambda s: s["n"],
     )
-    return out.select(F.col("_id").alias("doc_id"), F.col("_n").alias("n_words"), hit.alias("n_hit"), F.col("_matches").alias("matches"), *(F.col(f"_keep_{c}").alias(c) for c in keep if c != "doc_id"))
+    return out.select(F.col("_id").alias("doc_id"), F.col("_n").alias("n_words"), hit.alias("n_hit"), F.col("_matches").alias("matches"))
 
 
 def report(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
@@ -205,11 +203,10 @@ def report(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     )
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+def decontaminate(
+    docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",
+    item_text_col: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES,
+) -> DataFrame:
     """The rows of `docs`, whole and in their columns, without those that hold a benchmark window."""
-    found = locate(docs, benchmark, id_col, text_col, keep=docs.columns, **options)
-    return found.where("n_hit = 0").select(*docs.columns)
-
-
-def items_digest(items: set[str]) -> str:
-    return hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()
+    out = _matched(docs, benchmark, id_col, text_col, item_col, item_text_col, window, block_bytes, docs.columns)
+    return out.where(F.size("_matches") == 0).select(*(F.col(f"_keep_{c}").alias(c) for c in docs.columns))

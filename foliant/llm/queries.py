@@ -2,12 +2,33 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from foliant.llm import decontam, packing, substring
+from foliant.llm import decontam, neighbours, packing, pitman_yor, rules, substring, toxicity
 from foliant.llm._shared import table
 
 
+def _remainder(n: int, column: str = "doc_id") -> Column:
+    return F.crc32(F.col(column).cast("string")) % n
+
+
+def _train_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "labels").where(_remainder(5) != 0)
+
+
+def _predicted(scored: DataFrame, least: float) -> DataFrame:
+    return scored.select(
+        "doc_id", F.coalesce(_remainder(5) == 0, F.lit(False)).alias("held_out"), "score",
+        (F.col("score") >= least).cast("int").alias("predicted"), *(c for c in scored.columns if c not in ("doc_id", "score")),
+    )
+
+
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return _predicted(neighbours.score(docs, neighbours.fit(docs, _train_labels(spark, sf_dir))), 0.3)
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -20,10 +41,33 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.deduplicate(table(spark, sf_dir, "documents"), texts=False)
 
 
+def op7_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.coalesce(_remainder(7) == 2, F.lit(False))
+    model, vocabulary = pitman_yor.fit(docs.where(~held_out))
+    scored = pitman_yor.score(docs, model, vocabulary)
+    return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
+
+
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.judge(table(spark, sf_dir, "documents"), _train_labels(spark, sf_dir)).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
+    )
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return _predicted(toxicity.score(docs, toxicity.fit(docs, _train_labels(spark, sf_dir))), 0.5)
+
+
 QUERIES = {
+    "op1_quality_classifier": op1_quality_classifier,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_benchmark_decontamination": op5_benchmark_decontamination,
     "op6_substring_dedup": op6_substring_dedup,
+    "op7_language_model": op7_language_model,
+    "op8_quality_rules": op8_quality_rules,
+    "op10_toxicity": op10_toxicity,
 }
 
 ORACLES: dict[str, str] = {}

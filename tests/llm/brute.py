@@ -47,3 +47,26 @@ def deduplicated(docs, window=50):
         kept = " ".join(x for k, x in enumerate(w) if k not in gone)
         out[doc] = (len(w), len(gone), hashlib.sha256(kept.encode()).hexdigest())
     return out
+
+
+def base_scores(docs, held_out):
+    """{doc_id: (n_tokens, n_known, train_tokens, base_score)}"""
+    import math
+    from collections import Counter
+
+    tokens = {d: [*SPACE.findall((t or "").translate(FOLD)), None] for d, t in docs}
+    c = Counter(w for d, ws in tokens.items() if not held_out(d) for w in ws)
+    n, v = sum(c.values()), len(c)
+    return {d: (len(ws), sum(c[w] > 0 for w in ws), n, sum(math.log10((c[w] + 1) / (n + v + 1)) for w in ws)) for d, ws in tokens.items()}
+
+
+def statistics(text):
+    """(n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words)"""
+    text = text or ""
+    w = SPACE.findall(text)
+    lines = [x for x in text.split("\n") if SPACE.search(x)]
+    places = defaultdict(list)
+    for k in range(len(w) - 7):
+        places[tuple(w[k : k + 8])].append(k)
+    hit = {k + i for ks in places.values() if len(ks) > 1 for k in ks for i in range(8)}
+    return (len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text)), len(lines) - len(set(lines)), len(hit))
