@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm import decontam, neighbours, packing, pitman_yor, rules, substring, toxicity
+from foliant.llm import decontam, jaccard, lines, neighbours, packing, pages, pitman_yor, rules, substring, toxicity
 from foliant.llm._shared import table
 
 
@@ -13,7 +13,7 @@ def _remainder(n: int, column: str = "doc_id") -> Column:
     return F.crc32(F.col(column).cast("string")) % n
 
 
-def _train_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+def train_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "labels").where(_remainder(5) != 0)
 
 
@@ -26,7 +26,16 @@ def _predicted(scored: DataFrame, least: float) -> DataFrame:
 
 def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return _predicted(neighbours.score(docs, neighbours.fit(docs, _train_labels(spark, sf_dir))), 0.3)
+    return _predicted(neighbours.score(docs, neighbours.fit(docs, train_labels(spark, sf_dir))), 0.3)
+
+
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = lines.deduplicate(table(spark, sf_dir, "documents"))
+    return cut.select("doc_id", F.col("_lines").alias("n_lines"), F.col("_deleted").alias("n_deleted"), "text")
+
+
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.extract_pages(table(spark, sf_dir, "pages"))
 
 
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,24 +59,33 @@ def op7_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rules.judge(table(spark, sf_dir, "documents"), _train_labels(spark, sf_dir)).select(
+    return rules.judge(table(spark, sf_dir, "documents"), train_labels(spark, sf_dir)).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
     )
 
 
+def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.link(table(spark, sf_dir, "documents"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return _predicted(toxicity.score(docs, toxicity.fit(docs, _train_labels(spark, sf_dir))), 0.5)
+    return _predicted(toxicity.score(docs, toxicity.fit(docs, train_labels(spark, sf_dir))), 0.5)
 
 
 QUERIES = {
     "op1_quality_classifier": op1_quality_classifier,
+    "op2_line_dedup": op2_line_dedup,
+    "op3_html_extraction": op3_html_extraction,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_benchmark_decontamination": op5_benchmark_decontamination,
     "op6_substring_dedup": op6_substring_dedup,
     "op7_language_model": op7_language_model,
     "op8_quality_rules": op8_quality_rules,
+    "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
     "op10_toxicity": op10_toxicity,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op2_line_dedup": lines.ORACLE,
+}

@@ -70,3 +70,36 @@ def statistics(text):
         places[tuple(w[k : k + 8])].append(k)
     hit = {k + i for ks in places.values() if len(ks) > 1 for k in ks for i in range(8)}
     return (len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text)), len(lines) - len(set(lines)), len(hit))
+
+
+def shingle_sets(docs, n=5):
+    out = {}
+    for doc, text in docs:
+        w = SPACE.findall((text or "").translate(FOLD))
+        out[doc] = {tuple(w[k : k + n]) for k in range(len(w) - n + 1)} if len(w) >= n else ({tuple(w)} if w else set())
+    return out
+
+
+def near_components(docs, n=5, share=75):
+    """{doc_id: (n_shingles, component_id)}, by comparing each set with all that have a shingle in common."""
+    sets = shingle_sets(docs, n)
+    up = {d: d for d in sets}
+
+    def find(x):
+        while up[x] != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+
+    having = defaultdict(list)
+    for d in sorted(sets):
+        met = defaultdict(int)
+        for s in sets[d]:
+            for e in having[s]:
+                met[e] += 1
+            having[s].append(d)
+        for e, k in met.items():
+            if 100 * k >= share * (len(sets[d]) + len(sets[e]) - k):
+                a, b = sorted((find(d), find(e)))
+                up[b] = a
+    return {d: (len(s), find(d)) for d, s in sets.items()}
