@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from foliant.llm._text import ALNUM, Words, mix, mix2, runs, slices, view
 
 #: Labelled texts used to learn, at most; those with the smallest hashes of their ids.
-TOXIC_SAMPLE, CLEAN_SAMPLE = 1500, 3000
+TOXIC_SAMPLE, CLEAN_SAMPLE = 800, 1600
 #: Longer labelled texts aren't used to learn.  All texts are scored whole.
 LEARN_BYTES = 1 << 16
 PREFIXES = (4, 5, 6, 7)
@@ -161,22 +161,31 @@ def train(rows: list[tuple[str, int]], counts: dict[int, int] | None = None) ->
         for i, j in cut:
             yield Words(data, off[i : j + 1], ALNUM, fold=True), slice(i, j)
 
-    # in how many texts of either label each feature occurs
+    # in how many texts of either label each feature occurs, if in two toxic ones at least
     total = np.array([each[label == y].sum() for y in (0, 1)])
-    keys, found = [], []
-    for words, s in parts():
+
+    def texts(words: Words, held: np.ndarray, known: np.ndarray | None = None) -> np.ndarray:
+        """The features of these texts, once each a text."""
         x = features(words)
         doc = np.repeat(words.doc(), x.shape[1])
         flat = x.ravel()
-        doc, flat = doc[flat > 0], flat[flat > 0]
-        one = np.unique(mix2(flat, mix(doc.astype(np.uint64))), return_index=True)[1]
-        key, of = np.unique(flat[one], return_inverse=True)
-        y, w = label[s][doc[one]], each[s][doc[one]]
-        keys.append(key)
-        found.append(np.column_stack([np.bincount(of[y == 0], w[y == 0], minlength=len(key)), np.bincount(of[y == 1], w[y == 1], minlength=len(key)), np.bincount(of[y == 1], minlength=len(key))]))
-    key, of = np.unique(np.concatenate(keys), return_inverse=True)
-    found = np.concatenate(found)
-    clean, toxic, seen = (np.bincount(of, found[:, k], minlength=len(key)) for k in range(3))
+        take = (flat > 0) & held[doc]
+        if known is not None:
+            take &= np.isin(flat, known)
+        doc, flat = doc[take], flat[take]
+        return flat[np.unique(mix2(flat, mix(doc.astype(np.uint64))), return_index=True)[1]]
+
+    key, seen = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    for words, s in parts():
+        found, n = np.unique(texts(words, label[s] == 1), return_counts=True)
+        key, of = np.unique(np.concatenate([key, found]), return_inverse=True)
+        seen = np.bincount(of, np.concatenate([seen, n]), minlength=len(key)).astype(np.int64)
+    key, seen = key[seen >= 2], seen[seen >= 2]
+    clean = np.zeros(len(key))
+    for words, s in parts():
+        found, n = np.unique(texts(words, label[s] == 0, key), return_counts=True)
+        clean[np.searchsorted(key, found)] += n
+    toxic, clean = seen * each[label == 1][0], clean * each[label == 0][0]
     share = total[1] / total.sum()
     precision = toxic / (toxic + clean)
     # evidence: in three toxic texts or more, and far more often than chance would have it
@@ -186,7 +195,7 @@ def train(rows: list[tuple[str, int]], counts: dict[int, int] | None = None) ->
     key, strong, odds = key[order], evidence[order], np.log((toxic[order] + 0.1) / (clean[order] + 0.5))
     weight = np.where(strong, np.clip(odds, 0, 3), 0)
 
-    ids, held, begins, at = [], [], [], 0
+    ids, held, begins, at = [], [], [], 0  # a few bytes a word
     for words, s in parts():
         x = features(words)
         place = np.minimum(np.searchsorted(key, x), max(0, len(key) - 1))
@@ -208,17 +217,18 @@ def train(rows: list[tuple[str, int]], counts: dict[int, int] | None = None) ->
     size = max(1, int(y.sum()))
     for step in range(1, STEPS + 1):
         w = np.append(theta[:n], 0)
-        logit = w[ids].sum(1) + theta[n]
+        logit = sum(w[ids[:, k]] for k in range(ids.shape[1])) + theta[n]
         a = np.exp(np.array([[0, theta[n + 1]], [theta[n + 2], theta[n + 3]]]))
         m, forward, g = marginals(logit, begin, a, float(np.exp(theta[n + 4])))
         left = y - m
         slope = np.zeros_like(theta)
-        slope[:n] = np.bincount(ids.ravel(), np.repeat(left, ids.shape[1]), minlength=n + 1)[:n] - RIDGE * size * theta[:n]
+        slope[:n] = sum(np.bincount(ids[:, k], left, minlength=n + 1) for k in range(ids.shape[1]))[:n] - RIDGE * size * theta[:n]
         slope[n] = left.sum()
         if len(follow):
             f, b = forward[follow], g[follow + 1]
-            cells = np.column_stack([np.full(len(f), a[0, 0]), a[0, 1] * b, f * a[1, 0], f * a[1, 1] * b])
-            slope[n + 1 : n + 4] = (pair - (cells / cells.sum(1, keepdims=True)).sum(0))[1:]
+            cells = [a[0, 1] * b, f * a[1, 0], f * a[1, 1] * b]
+            size_of = a[0, 0] + sum(cells)
+            slope[n + 1 : n + 4] = pair[1:] - [(c / size_of).sum() for c in cells]
         slope[n + 4] = (y[begin] - m[begin]).sum()
         slope /= size
         mean, square = 0.8 * mean + 0.2 * slope, 0.95 * square + 0.05 * slope**2
