@@ -18,8 +18,9 @@ MOST_LITERALS = 1000
 
 
 def last_wins(df: DataFrame, key: str, *order: str) -> DataFrame:
-    """One row per key, the last in this order, as if rows had been written one by one."""
-    place = Window.partitionBy(key).orderBy(*(F.col(c).desc() for c in order))
+    """One row per key, the last in this order, as if rows had been written one by one; without an
+    order any of them."""
+    place = Window.partitionBy(key).orderBy(*(F.col(c).desc() for c in order or [key]))
     return df.withColumn("_nth", F.row_number().over(place)).where("_nth = 1").drop("_nth")
 
 
