@@ -44,7 +44,7 @@ WHOLE = frozenset("html body article main".split())
 LEAVES = HEADINGS | {"p", "pre", "li", "blockquote"}
 
 # Boilerplate by element, ARIA role, and by words in classes and ids.
-OUT_TAGS = frozenset("head nav header footer aside form button select option dialog menu canvas object audio video map label input fieldset".split())
+OUT_TAGS = frozenset("head nav footer aside form button select option dialog menu canvas object audio video map label input fieldset".split())
 OUT_ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog form menu menubar toolbar".split())
 OUT_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promos promotion banner sidebar side nav navbar navigation menu "
@@ -54,15 +54,20 @@ OUT_WORDS = frozenset(
 )
 
 
+#: Words for what stands around an article rather than beside it.
+FRAME_WORDS = frozenset("header masthead banner topbar nav navbar menu footer".split())
+
+
 @dataclass
 class Element:
     """path numbers the path of tags from the root; text, links and content are characters."""
 
     tag: str
     up: Element | None
-    out: bool
+    why: str
     path: int
     link: bool
+    out: bool = False
     text: int = 0
     links: int = 0
     content: float = 0.0
@@ -77,27 +82,44 @@ class Element:
             e = e.up
 
 
-def _out(tag: str, attributes: str, up: Element) -> bool:
-    if up.out and not (up.tag == "header" and tag in HEADINGS and _inside(up)):
-        return True
+def _why(tag: str, attributes: str) -> str:
+    """Why an element is boilerplate by itself: tag, header, frame, word, or "" if it isn't."""
+    if tag == "header":
+        return "header"
     if tag in OUT_TAGS:
-        return True
+        return "tag"
     if tag in WHOLE or not attributes:
-        return False
+        return ""
     for name, *values in _ATTRIBUTE.findall(attributes):
         value, name = next((v for v in values if v), ""), name.lower()
-        if name in ("class", "id") and any(w.lower() in OUT_WORDS for w in _NAME.findall(value)):
-            return True
         if name == "role" and value.lower() in OUT_ROLES or name == "hidden" or name == "aria-hidden" and value.lower() == "true":
-            return True
+            return "tag"
         if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-            return True
-    return False
+            return "tag"
+        if name in ("class", "id"):
+            found = {w.lower() for w in _NAME.findall(value)} & OUT_WORDS
+            if found:
+                return "header" if found == {"header"} else "frame" if found & FRAME_WORDS else "word"
+    return ""
+
 
+def judge(elements: list[Element]) -> None:
+    """Which elements are out: boilerplate by themselves, or inside such.
 
-def _inside(e: Element) -> bool:
-    """Whether an element is part of an article, and nothing above it is boilerplate."""
-    return not e.up.out and any(x.tag in ("article", "main") for x in e.above())
+    A class may name what an element has and not what it is ("has-sidebar"): one that holds the
+    main element or the page's title isn't boilerplate for its class.  Headings in an article's
+    own header belong to the article.
+    """
+    mains, titles = set(), set()
+    for e in reversed(elements[1:]):
+        if e.tag == "main" or id(e) in mains:
+            mains.add(id(e.up))
+        if e.tag == "h1" or id(e) in titles:
+            titles.add(id(e.up))
+    for e in elements[1:]:
+        own = e.why == "tag" or e.why and id(e) not in mains and not (e.why == "word" and id(e) in titles)
+        heading = e.tag in HEADINGS and e.up.why == "header" and e.up.up is not None and not e.up.up.out and any(x.tag in ("article", "main") for x in e.up.above())
+        e.out = bool(own) or e.up.out and not heading
 
 
 @dataclass
@@ -111,7 +133,7 @@ class Node:
 
 def parse(page: str) -> tuple[list[Element], list[Node]]:
     """The elements, the root first and each after the one it is in, and the text nodes."""
-    root = Element("", None, False, 0, False)
+    root = Element("", None, "", 0, False)
     elements, nodes = [root], []
     paths: dict[tuple[int, str], int] = {}
     opened: Counter[str] = Counter()
@@ -166,7 +188,7 @@ def parse(page: str) -> tuple[list[Element], list[Node]]:
         if tag in CLOSES:
             close(CLOSES[tag], SCOPE[tag])
         path = paths.setdefault((here.path, tag), len(paths) + 1)
-        child = Element(tag, here, _out(tag, attributes, here), path, here.link or tag == "a")
+        child = Element(tag, here, _why(tag, attributes), path, here.link or tag == "a")
         here.kids.append(child)
         elements.append(child)
         opened[tag] += 1
@@ -192,6 +214,7 @@ def fused(nodes: list[Node]) -> np.ndarray:
 def extract(page: str | None) -> str:
     """The article's blocks, one a line; without any, or for null, an empty text."""
     elements, nodes = parse(page or "")
+    judge(elements)
     nodes = [n for n in nodes if not n.at.out]
     said = [n for n in nodes if n.text.strip()]
     if not said:
