@@ -44,12 +44,15 @@ def encoder(path: str):
     which merges the same way several times faster; texts that hold an added token's string,
     and files of other kinds, go through tokenizers.
     """
-    from tokenizers import Tokenizer
 
-    plain = Tokenizer.from_file(path)
+    @functools.cache
+    def plain():
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(path)
 
     def slow(text: str) -> list[int]:
-        return plain.encode(text, add_special_tokens=False).ids
+        return plain().encode(text, add_special_tokens=False).ids
 
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
