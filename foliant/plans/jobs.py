@@ -113,11 +113,11 @@ def fetch_fulltext(
         try:
             _land(store, f"{run}-{k:06d}", k, "pmc", client.fetch_pmc([c for _, c in rows]))
             asked += [(p, c, False) for p, c in rows]
-        except OSError:
+        except Exception:  # noqa: BLE001  a batch that fails, for whatever reason, costs itself only
             log.exception("batch %d failed", k)
             asked += [(p, c, True) for p, c in rows]
-        except BaseException as error:
-            failure = error  # what is settled is kept
+        except BaseException as error:  # noqa: BLE001  an interrupt: what is settled is kept, and it goes on up
+            failure = error
             break
     records = spark.createDataFrame(asked, "pmid string, pmc_id string, batch_failed boolean").join(abstract.select("pmid", "pubmed_xml"), "pmid")
     records = records.select("pmid", "pmc_id", "batch_failed", parse_record(F.col("pubmed_xml")).alias("pubmed"))

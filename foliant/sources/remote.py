@@ -38,21 +38,30 @@ class Client(Protocol):
     def elink_pmcid(self, pmid: str) -> str | None: ...
 
 
-class Throttle:
-    """At most `rate` passes a second, for all threads of a process; 0 lets all pass."""
+class Gate:
+    """When the next request may go; shared by all throttles of a process unless they have their own."""
 
-    def __init__(self, rate: float, clock: Callable[[], float] = time.monotonic, sleep: Callable[[float], None] = time.sleep):
-        self.rate, self.clock, self.sleep = rate, clock, sleep
+    def __init__(self) -> None:
         self.lock, self.next = threading.Lock(), 0.0
 
+
+_GATE = Gate()
+
+
+class Throttle:
+    """At most `rate` passes a second through its gate; 0 lets all pass."""
+
+    def __init__(self, rate: float, clock: Callable[[], float] = time.monotonic, sleep: Callable[[float], None] = time.sleep, gate: Gate | None = None):
+        self.rate, self.clock, self.sleep, self.gate = rate, clock, sleep, gate or _GATE
+
     def wait(self) -> None:
         if self.rate <= 0:
             return
-        with self.lock:  # held while waiting, so that others queue up behind
+        with self.gate.lock:  # held while waiting, so that others queue up behind
             now = self.clock()
-            if now < self.next:
-                self.sleep(self.next - now)
-            self.next = max(now, self.next) + 1 / self.rate
+            if now < self.gate.next:
+                self.sleep(self.gate.next - now)
+            self.gate.next = max(now, self.gate.next) + 1 / self.rate
 
 
 def retried(call: Callable[[], bytes], attempts: int = ATTEMPTS, sleep: Callable[[float], None] = time.sleep) -> bytes:

@@ -100,6 +100,19 @@ def test_fetch(store):
     assert jobs.reparse(store) == 6 and store.read("paper").count() == 4
 
 
+def test_interrupted_fetch_keeps_what_is_settled(store):
+    class Interrupted(FakeClient):
+        def fetch_pmc(self, ids):
+            if self.calls:
+                raise KeyboardInterrupt
+            return super().fetch_pmc(ids)
+
+    jobs.sync(store, FakeClient([record("1", pmc="PMC1"), record("2", pmc="PMC2")]), CONFIG)
+    with pytest.raises(KeyboardInterrupt):
+        jobs.fetch_fulltext(store, Interrupted(full={"PMC1": article("1", "PMC1"), "PMC2": article("2", "PMC2")}), CONFIG, batch_size=1)
+    assert pmids(store.read("paper")) == ["1"] and pmids(corpus.candidates(store.read("abstract"), store.read("paper"))) == ["2"]
+
+
 def test_snapshot_round_trip(store, spark, tmp_path):
     jobs.sync(store, FakeClient([record("2", pmc="PMC2", authors=2), record("1", "é", entrez=None)]), CONFIG)
     jobs.fetch_fulltext(store, FakeClient(full={"PMC2": article("2", "PMC2")}), CONFIG)
@@ -206,9 +219,10 @@ def test_client_paces_and_retries():
         slept.append(s)
         now[0] += s
 
-    throttle = remote.Throttle(2, lambda: now[0], sleep)
-    for _ in range(3):
-        throttle.wait()
+    gate = remote.Gate()
+    throttles = [remote.Throttle(2, lambda: now[0], sleep, gate) for _ in range(2)]
+    for k in range(3):
+        throttles[k % 2].wait()
     assert slept == [0.5, 0.5]
     calls, waits = [], []
 
