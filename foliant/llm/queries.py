@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm import decontam, jaccard, lines, neighbours, packing, pages, pitman_yor, rules, substring, toxicity
+from foliant.llm import decontam, jaccard, lines, neighbours, oracles, packing, pages, pitman_yor, rules, substring, toxicity
 from foliant.llm._shared import table
 
 
@@ -88,4 +88,6 @@ QUERIES = {
 
 ORACLES: dict[str, str] = {
     "op2_line_dedup": lines.ORACLE,
+    "op5_benchmark_decontamination": oracles.DECONTAMINATION,
+    "op6_substring_dedup": oracles.SUBSTRING,
 }
