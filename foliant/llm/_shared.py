@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 _fallback: dict[str, str] = {}
+_made: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -33,6 +35,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/foliant-{name}-{uuid.uuid4().hex}"
     schema = df.schema
+    _made.append(path)
     df.write.parquet(path)
     return spark.read.schema(schema).parquet(path)
 
@@ -48,12 +51,32 @@ def dropped(df: DataFrame) -> None:
             path.getFileSystem(conf).delete(path, True)
 
 
+def tidied(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of frames that are done with.
+
+    It does so when the driver's JVM collects its garbage, which may be long after.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     # texts of any length go to Python in batches: fewer rows each keep an executor's memory low
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def clean(spark: SparkSession) -> None:
+    """Delete the tables that this process wrote to the shared folder.
+
+    A frame that an operator returned may still read some: call this when results are stored.
+    """
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    while _made:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_made.pop())
+        path.getFileSystem(conf).delete(path, True)
+
+
 class Sieve:
     """A set of long ids as a bit map of bounded size (16 MB at most), to leave most other rows
     where they are before a join.  It never loses a member; with many ids it lets more others pass.

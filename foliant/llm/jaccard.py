@@ -3,17 +3,21 @@
 A document is its set of word shingles.  Two documents link when their sets' Jaccard similarity
 is at least `share` percent; the result is the components of the links.
 
-Sets that are equal are one class, of which one member goes on.  The shingles with the smallest
-hashes of a set, three tenths of them, are its region.  Linked sets have all but a quarter of
-their shingles in common, so each has a known number of region shingles that the other's region
-has too; a set without as many shared ones has no links.  What is left is joined on the rarest
-of its shared shingles, as many as make sure that linked sets meet.
-
-The sets that meet are partitioned into groups: each is compared with the set it meets most
-often among those most central where they meet, and links make groups.  Most copies end here,
-in comparisons that grow with their number and not with its square.  The token-group matrix
-then holds each group's union of shared shingles.  A set is compared with members of another
-group only where the union covers as many of its shingles as a link would need.
+Sets that are equal are one class, of which one member goes on.  Two filters leave out sets that
+can't link.  The first is cheap: the shingles with the smallest hashes of a set, three tenths of
+them, are its region, and linked sets have a known number of region shingles in common.  The
+second, for the sets left, is on all shingles: `share` percent of them must occur elsewhere.
+Then each set takes the rarest of its shared shingles, as many as make sure that linked sets
+meet at one of them.
+
+Where many sets meet, the one whose shingles are shared most is the centre, and each set is
+compared with the centre that it meets most often.  Most copies are settled so, in comparisons
+that grow with their number and not with its square.
+
+All sets are partitioned into groups of bounded size by their centre.  The token-group matrix
+says at which groups a set's shingles are met.  A set that meets a group with members it isn't
+settled with asks that group: the union of the group's shingles bounds what any member can have
+in common with it, and only if that is enough is the group opened and its members compared.
 """
 
 from __future__ import annotations
@@ -25,11 +29,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from foliant.llm._shared import Sieve, written
+from foliant.llm._shared import Sieve, dropped, tidied, written
 from foliant.llm._text import SPACE, Words, grams, mix, slices, view
+from foliant.llm.components import components
 
 SHINGLE, SHARE = 5, 75
 REGION = 30
+#: Sets in a group, and sets that ask a group in one task, about.
+GROUP, VISITORS = 64, 512
+#: A shingle that so many of the documents in a sample of one in SAMPLE have is frequent, and its
+#: rows are dealt to SALTS places; at most FREQUENT shingles are.
+SAMPLE, OFTEN, FREQUENT, SALTS = 100, 20, 1 << 16, 64
 
 
 def shingles(words: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -96,6 +106,62 @@ def least_shared(n: Column, share: int, region: int) -> Column:
     return F.greatest(F.lit(1), F.ceil(n * slack * share / 10_000 - 1e-9)).cast("int")
 
 
+def _shared_tokens(sets: DataFrame, sampled: DataFrame, column: str, n: Column) -> DataFrame:
+    """(token, doc_id, n, df): tokens that two sets or more have, with how many do.
+
+    Rows of a token meet in one place to be counted, but for those of frequent tokens, whose
+    number is known well enough from the sample: it is used for nothing but the tokens' order.
+    """
+    part = sampled.where(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLE)) == 0).select(F.explode(column).alias("token"))
+    often = part.groupBy("token").agg(F.count("*").alias("c")).where(F.col("c") >= OFTEN).orderBy(F.desc("c"), "token").limit(FREQUENT)
+    often = written(often.select("token", (F.col("c") * SAMPLE).alias("often")), "often")
+    tokens = sets.select(F.explode(column).alias("token"), "doc_id", n.cast("int").alias("n"))
+    tokens = tokens.join(F.broadcast(often), "token", "left")  # at most FREQUENT rows
+    salt = F.when(F.col("often").isNotNull(), F.pmod(F.xxhash64("doc_id"), F.lit(SALTS))).otherwise(0)
+    counted = F.count("*").over(Window.partitionBy("token", salt))
+    return tokens.withColumn("df", F.coalesce("often", counted)).where("df > 1").drop("often")
+
+
+def _opened(share: int):
+    def run(rows: pa.Table) -> pa.Table:
+        """Links of one group (home) with those that ask it and, where asked for, within it."""
+        ids, n = rows.column("doc_id").to_numpy(), rows.column("n").to_numpy()
+        home, component = rows.column("home").to_numpy(zero_copy_only=False), rows.column("component").to_numpy()
+        lists = rows.column("tokens").combine_chunks()
+        sets = [lists[k].values.to_numpy() for k in range(len(ids))]
+        members = np.flatnonzero(home)
+        union = np.unique(np.concatenate([sets[k] for k in members])) if len(members) else np.zeros(0, np.int64)
+        has = np.zeros((len(members), len(union)), bool)
+        for k, m in enumerate(members):
+            has[k, np.searchsorted(union, sets[m])] = True
+        within = bool(rows.column("within").to_numpy(zero_copy_only=False).any())
+        up = {int(c): int(c) for c in component}
+
+        def find(x: int) -> int:
+            while up[x] != x:
+                up[x] = up[up[x]]
+                x = up[x]
+            return x
+
+        out = []
+        for k in range(len(ids)) if len(union) else ():
+            if home[k] and not within:
+                continue
+            at = np.minimum(np.searchsorted(union, sets[k]), len(union) - 1)
+            at = at[union[at] == sets[k]]
+            if 100 * len(at) < share * n[k]:  # no member can have enough of this set
+                continue
+            same = has[:, at].sum(1)
+            for m in members[100 * same >= share * (n[k] + n[members] - same)]:
+                a, b = find(int(component[k])), find(int(component[m]))
+                if a != b:
+                    up[max(a, b)] = min(a, b)
+                    out.append((int(ids[k]), int(ids[m])))
+        return pa.table({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
+
+    return run
+
+
 def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = SHINGLE, share: int = SHARE, region: int = REGION) -> DataFrame:
     """doc_id, n_shingles and component_id of every row of `docs`.
 
@@ -105,54 +171,91 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int
     counted and a null component; rows with the same id are one document's and an id names one
     text; other columns are not read.  `region` must exceed 100 - `share`.
     """
+    spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     profile = written(docs.mapInArrow(_profile(n, region), "doc_id long, n long, s1 long, s2 long, region array<long>"), "profile")
+    counts = written(profile.select("doc_id", F.col("n").alias("n_shingles")), "counts")
     key = ["n", "s1", "s2"]
     known = profile.where("n > 0 and doc_id is not null")
     classes = known.groupBy(*key).agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last")).where("rep < last").drop("last")
-    copies = written(known.select("doc_id", *key).join(classes, key).where("doc_id > rep").select("doc_id", "rep").distinct(), "copies")
+    copies = written(known.select("doc_id", *key).join(written(classes, "classes"), key).where("doc_id > rep").select("doc_id", "rep").distinct(), "copies")
     sieve = Sieve(copies)
-    single = sieve.split(known.select("doc_id", "n", "region"), "doc_id", False).unionByName(sieve.split(known.select("doc_id", "n", "region"), "doc_id", True).join(copies, "doc_id", "left_anti"))
-
-    # region shingles that another set has in its region too
-    tokens = single.select(F.explode("region").alias("token"), "doc_id", F.col("n").cast("int").alias("n"))
-    over = Window.partitionBy("token")
-    shared = tokens.withColumn("df", F.count("*").over(over)).where("df > 1")
-    needed = least_shared(F.col("n"), share, region)
-    held = shared.groupBy("doc_id", "n").agg(F.array_sort(F.collect_set(F.struct("df", "token"))).alias("found")).where(F.size("found") >= needed)
+    own = known.select("doc_id", "n", "region")
+    single = sieve.split(own, "doc_id", False).unionByName(sieve.split(own, "doc_id", True).join(copies, "doc_id", "left_anti"))
+
+    # first filter: region shingles that another region has
+    shared = _shared_tokens(single, known, "region", F.col("n"))
+    left = written(shared.groupBy("doc_id", "n").agg(F.count("*").alias("k")).where(F.col("k") >= least_shared(F.col("n"), share, region)).select("doc_id"), "left")
+    dropped(profile)
+    tidied(spark)
+
+    # second filter: shingles that another set has
+    near = Sieve(left).split(docs, "doc_id", True).join(left, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    sets = written(near.mapInArrow(_sets(n), "doc_id long, tokens array<long>"), "sets")
+    shared = _shared_tokens(sets, sets, "tokens", F.size("tokens"))
+    found = shared.groupBy("doc_id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("found")).where(100 * F.size("found") >= share * F.col("n"))
     # how many share a set's shingles, on average: the centre of a group has the most
     central = F.aggregate("found", F.lit(0.0), lambda s, x: s + F.log(x["df"].cast("double"))) / F.col("n")
-    held = written(held.select("doc_id", "n", central.alias("central"), F.transform("found", lambda x: x["token"]).alias("found")), "held")
-    rare = F.slice("found", 1, F.size("found") - needed + 1)
-    meets = written(held.select(F.explode(rare).alias("token"), "doc_id", "central", needed.alias("needed")), "meets")
+    most = F.size("found") - F.ceil(F.col("n") * share / 100).cast("int") + 1
+    rare = F.transform(F.slice("found", 1, most), lambda x: x["token"])
+    held = written(found.select("doc_id", "n", central.alias("central"), rare.alias("rare")), "held")
+    meets = held.select(F.explode("rare").alias("token"), "doc_id", "n", "central")
+    tidied(spark)
 
-    sets = written(Sieve(held).split(docs, "doc_id", True).join(held.select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(_sets(n), "doc_id long, tokens array<long>"), "sets")
-
-    # groups: each set with the centre that it meets most often
+    # each set with the centre that it meets most often
     centre = meets.groupBy("token").agg(F.max(F.struct("central", (-F.col("doc_id")).alias("id"))).alias("top"), F.count("*").alias("k")).where("k > 1").select("token", (-F.col("top.id")).alias("hub"))
-    met = meets.join(centre, "token").where("doc_id <> hub").groupBy("doc_id", "hub").agg(F.count("*").alias("k"))
-    first = met.groupBy("doc_id").agg(F.max(F.struct("k", (-F.col("hub")).alias("id"))).alias("top")).select(F.col("doc_id").alias("a"), (-F.col("top.id")).alias("b"))
-    links = written(_linked(first, sets, share), "stars")
-    from foliant.llm.components import components
-
-    groups = components(links)
-    grouped = written(meets.join(groups.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("token", "doc_id", "needed", F.coalesce("component", "doc_id").alias("group")), "grouped")
-
-    # the matrix: which groups have a shingle; queries are sets that meet another group
-    columns = grouped.select("token", "group").distinct()
-    several = columns.groupBy("token").agg(F.count("*").alias("k")).where("k > 1").select("token")
-    columns = written(columns.join(several, "token", "left_semi"), "matrix")
-    asks = grouped.join(columns.withColumnRenamed("group", "other"), "token").where("group <> other").select("doc_id", "other", "needed").distinct()
-    members = held.join(groups.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("doc_id", "found", F.coalesce("component", "doc_id").alias("group"))
-    asked = asks.select(F.col("other").alias("group")).distinct()
-    union = members.join(asked, "group", "left_semi").select("group", F.explode("found").alias("token")).distinct().groupBy("group").agg(F.collect_list("token").alias("union"))
-    bound = asks.join(held.select("doc_id", "found"), "doc_id").join(union.withColumnRenamed("group", "other"), "other")
-    opened = written(bound.where(F.size(F.array_intersect("found", "union")) >= F.col("needed")).select("doc_id", "other"), "opened")
-    queries = grouped.join(opened, "doc_id").select("token", "doc_id", F.col("other").alias("group"))
-    pairs = queries.join(grouped.select("token", "group", F.col("doc_id").alias("b")), ["token", "group"])
-    pairs = pairs.select(F.least("doc_id", "b").alias("a"), F.greatest("doc_id", "b").alias("b")).distinct()
-    more = _linked(pairs, sets, share)
-
-    every = links.unionByName(more).unionByName(copies.select(F.col("doc_id").alias("a"), F.col("rep").alias("b")))
+    met = meets.join(written(centre, "centre"), "token").groupBy("doc_id", "hub").agg(F.count("*").alias("k"))
+    ranked = Window.partitionBy("doc_id").orderBy(F.desc("k"), "hub")
+    first = met.where("doc_id <> hub").withColumn("r", F.row_number().over(ranked)).where("r = 1").select(F.col("doc_id").alias("a"), F.col("hub").alias("b"))
+    first = written(first, "centres")
+    stars = written(_linked(first, sets, share), "stars")
+    settled = components(stars)
+    tidied(spark)
+
+    # groups of bounded size, and who asks them
+    of = settled.select(F.col("id").alias("doc_id"), "component")
+    place = held.select("doc_id", "n").join(of, "doc_id", "left").join(first.select(F.col("a").alias("doc_id"), F.col("b").alias("hub")), "doc_id", "left")
+    place = place.join(of.select(F.col("doc_id").alias("hub"), F.col("component").alias("at")), "hub", "left")
+    # sets that linked go by their component, others by that of the centre they met
+    place = place.select("doc_id", "n", F.coalesce("component", "doc_id").alias("component"), F.coalesce("component", "at", "hub", "doc_id").alias("centre"), F.col("component").isNull().alias("single"))
+    sizes = place.groupBy("centre", "single").agg(F.count("*").alias("k"))
+    block = F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("k") / GROUP))
+    place = written(place.join(sizes, ["centre", "single"]).select("doc_id", "n", "component", F.struct("centre", "single", block.alias("block")).alias("group")), "groups")
+    span = [F.min("component").alias("x"), F.max("component").alias("y"), F.min("n").alias("least"), F.max("n").alias("most")]
+    cells = meets.select("token", "doc_id").join(place, "doc_id").groupBy("token", "group").agg(*span)
+    several = cells.groupBy("token").agg(F.min("x").alias("x"), F.max("y").alias("y")).where("x <> y").select("token")
+    matrix = written(cells.join(several, "token", "left_semi"), "matrix")
+    one, two = matrix.alias("a"), matrix.alias("b")
+    unsettled = (F.least("a.x", "b.x") != F.greatest("a.y", "b.y")) & (F.col("a.group") <= F.col("b.group"))
+    near_size = (100 * F.col("a.most") >= share * F.col("b.least")) & (100 * F.col("b.most") >= share * F.col("a.least"))
+    meeting = one.join(two, (F.col("a.token") == F.col("b.token")) & unsettled & near_size).select(F.col("a.group").alias("group"), F.col("b.group").alias("other")).distinct()
+    # of two groups that meet the smaller one asks
+    spans = place.groupBy("group").agg(*span, F.count("*").alias("k"))
+    meeting = meeting.join(spans.select("group", F.col("k").alias("ka")), "group").join(spans.withColumnRenamed("group", "other"), "other")
+    turned = F.col("ka") > F.col("k")
+    meeting = meeting.select(F.when(turned, F.col("other")).otherwise(F.col("group")).alias("group"), F.when(turned, F.col("group")).otherwise(F.col("other")).alias("other"))
+    unsettled = (F.col("x") != F.col("component")) | (F.col("y") != F.col("component"))
+    near_size = (100 * F.col("n") >= share * F.col("least")) & (100 * F.col("most") >= share * F.col("n"))
+    spans = spans.select(F.col("group").alias("other"), "x", "y", "least", "most")
+    asks = written(place.join(meeting, "group").join(spans, "other").where(unsettled & near_size).select("doc_id", "group", "other"), "asks")
+    dropped(matrix)
+    dropped(first)
+    tidied(spark)
+
+    # open the groups, with so many visitors at a time
+    visitors = asks.where("group <> other").select("doc_id", F.col("other").alias("group"))
+    inner = asks.where("group = other").select("group").distinct().withColumn("within", F.lit(True))
+    rooms = visitors.groupBy("group").agg(F.ceil(F.count("*") / VISITORS).cast("int").alias("rooms"))
+    asked = rooms.join(inner, "group", "full").select("group", F.coalesce("rooms", F.lit(1)).alias("rooms"), F.coalesce("within", F.lit(False)).alias("within"))
+    hosts = place.select("doc_id", "group").join(asked, "group").select("doc_id", "group", F.explode(F.sequence(F.lit(0), F.col("rooms") - 1)).alias("room"), F.lit(True).alias("home"), "within")
+    hosts = hosts.withColumn("within", F.col("within") & (F.col("room") == 0))
+    guests = visitors.join(rooms, "group").select("doc_id", "group", F.pmod(F.xxhash64("doc_id"), F.col("rooms")).cast("int").alias("room"), F.lit(False).alias("home"), F.lit(False).alias("within"))
+    rows = hosts.unionByName(guests).join(place.select("doc_id", "component"), "doc_id").join(sets.withColumn("n", F.size("tokens")), "doc_id")
+    more = written(rows.groupBy("group", "room").applyInArrow(_opened(share), "a long, b long"), "opened")
+
+    every = stars.unionByName(more).unionByName(copies.select(F.col("doc_id").alias("a"), F.col("rep").alias("b")))
     reached = components(every)
-    return profile.select("doc_id", F.col("n").alias("n_shingles")).join(reached, F.col("doc_id") == F.col("id"), "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    for frame in (left, sets, held, stars, place, asks, more, settled):
+        dropped(frame)
+    tidied(spark)
+    return counts.join(reached, F.col("doc_id") == F.col("id"), "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))

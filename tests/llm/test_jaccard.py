@@ -64,6 +64,12 @@ def test_equals_brute_force(spark):
     assert jaccard.link(frame.limit(0)).count() == 0
 
 
+def test_frequent_shingles_are_salted(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "SAMPLE", 1)
+    monkeypatch.setattr(jaccard, "OFTEN", 3)
+    test_equals_brute_force(spark)
+
+
 def test_least_shared_bounds_every_linked_pair(spark):
     # sets of m and n with overlap o that link: their regions share as many as the bound says
     worst = []
