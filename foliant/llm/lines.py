@@ -39,7 +39,8 @@ def deleted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run: int = RUN) -> DataFrame:
-    """The columns of `docs`, with later repeated lines cut from the text, and _lines and _deleted.
+    """The columns of `docs`, with later repeated lines cut from the text, and _lines and _deleted
+    (with more underscores, if `docs` has columns of these names).
 
     A line goes if it is one of `run` lines in a row, lines without words not counted, that
     occur in the same order at an earlier place: in a smaller document, or further up.  Lines
@@ -48,15 +49,21 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     lines; an empty one stays empty; rows of one id are at the same place and don't delete from
     each other; a row without an id stays whole and deletes nothing.
     """
-    gone = deleted(docs, id_col, text_col, run).select(F.col("doc_id").alias("_id"), F.col("gone").alias("_gone"))
-    lines = F.split(F.col(text_col), "\n")
-    left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "_gone")
-    text = F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(left, lambda k: F.get(lines, k)), "\n"))
-    out = docs.join(gone, docs[id_col] == gone["_id"], "left")
-    return out.select(
-        *(text.alias(c) if c == text_col else docs[c] for c in docs.columns),
-        F.when(docs[text_col].isNull(), 0).otherwise(F.size(lines)).cast("long").alias("_lines"), F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("_deleted"),
-    )
+    found = deleted(docs, id_col, text_col, run).select(F.col("doc_id").alias("_id"), F.col("gone").alias("_gone"))
+    gone, whole = found["_gone"], docs[text_col]
+    lines = F.split(whole, "\n")
+    left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), gone)
+    text = F.when(gone.isNull(), whole).otherwise(F.array_join(F.transform(left, lambda k: F.get(lines, k)), "\n"))
+    counts = {"_lines": F.when(whole.isNull(), 0).otherwise(F.size(lines)), "_deleted": F.coalesce(F.size(gone), F.lit(0))}
+    out = docs.join(found, docs[id_col] == found["_id"], "left")
+    return out.select(*(text.alias(c) if c == text_col else docs[c] for c in docs.columns), *(x.cast("long").alias(free_name(c, docs)) for c, x in counts.items()))
+
+
+def free_name(name: str, docs: DataFrame) -> str:
+    """The name, with more underscores before it while `docs` has such a column."""
+    while name in docs.columns:
+        name = "_" + name
+    return name
 
 
 ORACLE = r"""

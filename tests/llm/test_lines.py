@@ -10,14 +10,14 @@ def test_equals_oracle_on_edges(spark):
         (1, f"intro\n{block}\nend"), (2, f"other\n\n{block}\n"), (3, "beta\ngamma"), (4, "alpha\n\nbeta\n \ngamma"), (5, None), (6, ""), (7, "x\nx\nx\nx\nx"),
         (8, f"{block}\n{block}"), (9, "\n" * 50), (10, "line\n" * 3000), (11, "alpha \nbeta\ngamma"), (12, block),
     ]
-    frame = spark.createDataFrame([(*d, "a", 1) for d in docs], "doc_id long, text string, gone string, _x int").repartition(4)
-    got = sorted((r.doc_id, r._lines, r._deleted, r.text) for r in L.deduplicate(frame).collect())
+    frame = spark.createDataFrame([(*d, "a", 1, "i", [1]) for d in docs], "doc_id long, text string, gone string, _lines int, _id string, _gone array<int>").repartition(4)
+    got = sorted((r.doc_id, r["__lines"], r["_deleted"], r.text) for r in L.deduplicate(frame).collect())
     con = duckdb.connect()
     con.register("documents", pd.DataFrame(docs, columns=["doc_id", "text"]))
     assert got == sorted(con.sql(L.ORACLE).fetchall())
     text = {r[0]: r[3] for r in got}
     assert text[2] == "other\n\n" and text[1].endswith("end") and text[12] == "" and text[5] is None
-    assert L.deduplicate(frame).columns[:4] == frame.columns
+    assert L.deduplicate(frame).columns == [*frame.columns, "__lines", "_deleted"]
     assert L.deduplicate(frame.limit(0)).count() == 0
 
 
