@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from foliant.functions.text import blank_to_null, flat, strip
 
+# Public addresses of records.
 RECORD_URL = "https://pubmed.ncbi.nlm.nih.gov/"
 DOI_URL = "https://doi.org/"
 

@@ -19,7 +19,7 @@ from foliant.sources import remote, snapshot
 from foliant.sources.tables import Store
 from foliant.streaming.ingest import ingest
 
-CONFIG = IngestConfig("sudep", "a@b.c", "t", rate_limit=0, batch_size=2, pmc_batch_size=2)
+CONFIG = IngestConfig("asthma", "a@b.c", "t", rate_limit=0, batch_size=2, pmc_batch_size=2)
 
 
 @pytest.fixture
@@ -35,25 +35,25 @@ def test_config():
     for wrong in ({"query": " "}, {"ncbi_api_key": ""}, {"batch_size": 0}, {"rate_limit": -1}, {"max_records": 0}, {"year_min": 2001, "year_max": 2000}):
         with pytest.raises(ValueError):
             IngestConfig(**({"query": "q", "ncbi_email": "e", "ncbi_tool": "t"} | wrong))
-    keyed = IngestConfig("sudep", "a@b.c", "t", "key", rate_limit=0, batch_size=2, pmc_batch_size=2)
+    keyed = IngestConfig("asthma", "a@b.c", "t", "key", rate_limit=0, batch_size=2, pmc_batch_size=2)
     assert keyed.config_hash() == CONFIG.config_hash() and "key" not in json.dumps(keyed.recorded())
-    assert build_query(CONFIG) == "(sudep)" and build_query(CONFIG, year_min=1990) == "(sudep) AND 1990:3000[dp]"
+    assert build_query(CONFIG) == "(asthma)" and build_query(CONFIG, year_min=1990) == "(asthma) AND 1990:3000[dp]"
     assert build_query(CONFIG, "x", 0, 2000) == "(x) AND 1800:2000[dp]"
-    assert incremental_term(CONFIG, date(2020, 1, 2), date(2020, 2, 3)) == "(sudep) AND 2020/01/02:2020/02/03[edat]"
+    assert incremental_term(CONFIG, date(2020, 1, 2), date(2020, 2, 3)) == "(asthma) AND 2020/01/02:2020/02/03[edat]"
 
 
 def test_sync(store):
     client = FakeClient([record("1", pmc="11"), record("2", entrez=("2020", "3", "1")), record("3"), record("1", "Newer")])
     assert jobs.sync(store, client, CONFIG) == 4
     abstract = store.read("abstract")
-    assert pmids(abstract) == ["1", "2", "3"] and client.calls == [(0, 2), (2, 2)] and client.terms == ["(sudep)"]
+    assert pmids(abstract) == ["1", "2", "3"] and client.calls == [(0, 2), (2, 2)] and client.terms == ["(asthma)"]
     row = abstract.where("pmid = '1'").first()
     assert row.pubmed.title == "Newer" and row.pmc_id is None and row.fetch_failed is False and row.ingested_at
     # what fetching found out stays, and so does when a record first came
     store.write("abstract", abstract.withColumn("fetch_failed", F.col("pmid") == "2"))
     again = FakeClient([record("2", "Changed", entrez=("2020", "3", "1")), record("4")])
     assert jobs.sync(store, again, CONFIG, today=date(2020, 5, 5)) == 2
-    assert again.terms == ["(sudep) AND 2020/02/27:2020/05/05[edat]"]
+    assert again.terms == ["(asthma) AND 2020/02/27:2020/05/05[edat]"]
     rows = {r.pmid: r for r in store.read("abstract").collect()}
     assert len(rows) == 4 and rows["2"].fetch_failed and rows["2"].pubmed.title == "Changed" and rows["1"].ingested_at == row.ingested_at
     assert store.read("corpus_config").count() == 1
