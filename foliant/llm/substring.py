@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliant.llm._shared import Sieve, written
+from foliant.llm._shared import Sieve, dropped, tidied, written
 from foliant.llm._text import SPACE, Words, grams, mix, runs, slices, view
 
 WINDOW, SEED = 50, 16
@@ -150,11 +150,13 @@ def deduplicate(
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     profile = written(docs.dropna().mapInArrow(_profile(window, seed), "doc_id long, n_words long, s1 long, s2 long, seeds array<long>"), "profile")
     same = ["n_words", "s1", "s2"]
-    first = profile.where(F.col("n_words") >= window).groupBy(*same).agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").drop("last")
+    # what is joined with all rows is written first: Spark splits a hot key only where a join reads
+    # both sides straight from a shuffle, and one text or window may be a third of all
+    first = written(profile.where(F.col("n_words") >= window).groupBy(*same).agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").drop("last"), "classes")
     copies = written(profile.where(F.col("n_words") >= window).join(first, same).where("doc_id > first").select("doc_id").distinct(), "copies")
 
     def shared(rows: DataFrame) -> DataFrame:
-        return rows.groupBy("h").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").drop("last")
+        return written(rows.groupBy("h").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").drop("last"), "shared")
 
     seeds = profile.join(copies, "doc_id", "left_anti").select("doc_id", F.explode("seeds").alias("h"))
     held = written(seeds.join(shared(seeds), "h").groupBy("doc_id").agg(F.collect_set("h").alias("seeds")), "seeds")
@@ -162,6 +164,8 @@ def deduplicate(
     index = written(near.mapInArrow(_indexed(window, seed), "doc_id long, windows array<long>"), "windows")
     windows = index.select("doc_id", F.explode("windows").alias("h"))
     found = windows.join(shared(windows), "h").where("doc_id > first").groupBy("doc_id").agg(F.collect_set("h").alias("windows"))
+    dropped(profile)
+    tidied(docs.sparkSession)
     touched = written(found.join(copies.withColumn("copy", F.lit(True)), "doc_id", "full").select("doc_id", "copy", "windows"), "touched")
     sieve = Sieve(touched)
     none = sieve.split(docs, "doc_id", False).select("doc_id", "text", F.lit(None).cast("boolean").alias("copy"), F.lit(None).cast("array<long>").alias("windows"))
