@@ -33,7 +33,7 @@ def decontaminated(docs, items, window=10):
 def deduplicated(docs, window=50):
     """{doc_id: (n_words, n_removed, kept_sha256)}"""
     first = {}
-    for doc, text in sorted(docs):
+    for doc, text in sorted(docs, key=lambda d: d[0]):
         w = SPACE.findall(text or "")
         for k in range(len(w) - window + 1):
             first.setdefault(tuple(w[k : k + window]), doc)

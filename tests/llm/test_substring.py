@@ -15,7 +15,7 @@ def test_equals_brute_force(spark):
         for _ in range(rng.randrange(1, 6)):
             a = rng.randrange(2900)
             parts += long[a : a + rng.choice([30, 49, 50, 51, 70])] if rng.random() < 0.7 else [rng.choice(word) for _ in range(rng.randrange(80))]
-        docs.append((k * 10 % 590, " ".join(parts)))
+        docs.append((1000 - k * 7, " ".join(parts)))
     frame = spark.createDataFrame([(*r, "x", 1) for r in docs], "doc_id long, text string, seeds string, h int").repartition(5)
     got = S.deduplicate(frame).collect()
     want = brute.deduplicated(docs)
