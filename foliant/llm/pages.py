@@ -50,7 +50,9 @@ OUT_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promos promotion banner sidebar side nav navbar navigation menu "
     "breadcrumb breadcrumbs footer header masthead topbar comment comments disqus respond reply replies cookie cookies consent gdpr notice notices alert "
     "popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended widget toolbar pagination pager skip "
-    "search form paywall disclaimer".split()
+    "search form paywall disclaimer aside rail dropdown warning announcement notification notifications toast responses commentlist commentform commenter "
+    "adbox adslot adunit adbanner adsbygoogle outbrain taboola topnav subnav sidenav sitenav mainnav mainmenu submenu navmenu sidemenu sharebar sharebox "
+    "cookiebar cookiebanner promobox userbar infobar".split()
 )
 
 

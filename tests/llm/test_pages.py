@@ -19,6 +19,7 @@ CASES = {
     "layout around a title": (f"<div id='content-sidebar-wrap'><div class='text'><h1>Head</h1><p>{LOREM}</p><p>{LOREM}</p></div><div class='widget'><p>{LOREM}</p></div></div>", f"Head\n{LOREM}\n{LOREM}"),
     "site header with a title": (f"<div class='site-header'><h1>Site, of news.</h1></div><article><div class='entry-header'><h1>Head</h1><p>by me</p></div><p>{LOREM}</p></article>", f"Head\n{LOREM}"),
     "comments as articles": (f"<article><h1>Head</h1><p>{LOREM}</p></article><div class='comments'><article><p>{LOREM}</p></article></div>", f"Head\n{LOREM}"),
+    "joined words": (f"<div class='story'><h1>Head</h1><p>{LOREM}</p><p>{LOREM}</p></div><ol class='commentlist'><li><p>{LOREM}</p></li></ol><div class='adbox'>{LOREM}</div>", f"Head\n{LOREM}\n{LOREM}"),
     "hidden": (f"<article><p>{LOREM}</p><p style='display: none'>x</p><p hidden>y</p></article>", LOREM),
     "nothing": ("", ""), "null": (None, ""), "text only": ("just text", "just text"), "menus only": ("<nav>a</nav><footer>b</footer>", ""), "stray": ("</div></p><<>> a < b", "<<>> a < b"),
 }
