@@ -3,9 +3,10 @@
 A page's text nodes are grouped by the path of tags from the root.  Each path has the mean
 length of its texts and the mean number of their punctuation marks; both are smoothed over the
 sequence of nodes in the page, fused as a geometric mean and compared with a threshold from
-their spread.  The nodes of paths above it say where the article is: it is the smallest element
-that holds nearly all of their text.  The blocks inside it are the result, but for elements
-that are boilerplate by tag, role or class, and for lists of links.
+their spread.  The nodes above it say where the article is: it is the article or main element
+around the place that holds nearly all of their text, or else the smallest element that holds
+all of them and all nodes of paths that are above it on average.  The blocks inside it are the
+result, but for elements that are boilerplate by tag, role or class, and for lists of links.
 """
 
 from __future__ import annotations
@@ -62,7 +63,7 @@ FRAME_WORDS = frozenset("header masthead banner topbar nav navbar menu footer".s
 
 @dataclass
 class Element:
-    """path numbers the path of tags from the root; text, links and content are characters."""
+    """path numbers the path of tags from the root; text, links, content and chosen are characters."""
 
     tag: str
     up: Element | None
@@ -73,6 +74,7 @@ class Element:
     text: int = 0
     links: int = 0
     content: float = 0.0
+    chosen: float = 0.0
     inside: bool = False
     menu: bool = False
     kids: list = field(default_factory=list)
@@ -213,6 +215,16 @@ def fused(nodes: list[Node]) -> np.ndarray:
     return np.sqrt(smooth[0] * (1 + smooth[1]))
 
 
+def holder(root: Element, kind: str, share: float) -> Element:
+    """The smallest element with this share of the characters of a kind."""
+    top = root
+    while True:
+        inner = max(top.kids, key=lambda e: getattr(e, kind), default=None)
+        if inner is None or getattr(inner, kind) < share * getattr(root, kind) or inner.tag not in BLOCK | {"td", "th"} or inner.tag in LEAVES:
+            return top
+        top = inner
+
+
 def extract(page: str | None) -> str:
     """The article's blocks, one a line; without any, or for null, an empty text."""
     elements, nodes = parse(page or "")
@@ -222,25 +234,24 @@ def extract(page: str | None) -> str:
     if not said:
         return ""
     ratio = fused(said)
-    content = ratio >= min(ratio.max(), ratio.mean() - SPREAD * ratio.std())
-    for n, c in zip(said, content, strict=True):
+    least = min(ratio.max(), ratio.mean() - SPREAD * ratio.std())
+    content, of = ratio >= least, np.array([n.at.path for n in said])
+    chosen = content | ((np.bincount(of, ratio) / np.maximum(np.bincount(of), 1))[of] >= least)
+    for n, c, p in zip(said, content, chosen, strict=True):
         size = len(n.text.strip())
         n.at.text += size
         n.at.links += size * n.at.link
         n.at.content += size * c
+        n.at.chosen += size * p
     for e in reversed(elements[1:]):
         e.up.text += e.text
         e.up.links += e.links
         e.up.content += e.content
-    top = root = elements[0]
-    while True:
-        inner = max(top.kids, key=lambda e: e.content, default=None)
-        if inner is None or inner.content < HELD * root.content or inner.tag not in BLOCK | {"td", "th"} or inner.tag in LEAVES:
-            break
-        top = inner
+        e.up.chosen += e.chosen
+    place = holder(elements[0], "content", HELD)
     # an article or main element around the place found is the article itself
-    around = [top, *top.above()]
-    top = next((e for tag in ("article", "main") for e in around if e.tag == tag), top)
+    around = [place, *place.above()]
+    top = next((e for tag in ("article", "main") for e in around if e.tag == tag), None) or holder(elements[0], "chosen", 1)
     top.inside = True
     for e in elements[1:]:
         if e is not top and e.up.inside:

@@ -31,6 +31,12 @@ def test_cases(name):
     assert extract(page) == want
 
 
+def test_selected_text_outside_the_largest_element_stays():
+    page = f"<body><div class=intro><h1>Head</h1><p>{LOREM}</p></div><div class=story>{f'<p>{LOREM}</p>' * 20}</div><div class=footer>Foot, note.</div></body>"
+    assert extract(page) == "\n".join(["Head"] + [LOREM] * 21)
+    assert extract(page.replace("body>", "article>")) == extract(page)
+
+
 def test_long_page():
     page = "<article>" + f"<p>{LOREM}</p>" * 20_000
     assert extract(page) == "\n".join([LOREM] * 20_000)
