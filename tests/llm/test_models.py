@@ -98,6 +98,39 @@ def test_language_model_is_better_than_add_one_on_held_out_texts(spark):
     assert got[0] / got[2] > got[1] / got[2] + 0.2
 
 
+def test_language_model_knows_the_order_of_words(spark, monkeypatch):
+    monkeypatch.setattr(pitman_yor, "FREQUENT", 3)  # some words and pairs are joined, some sent along
+    monkeypatch.setattr(pitman_yor, "FREQUENT_PAIRS", 3)
+    lines = ["the cat sat on the mat", "a dog ran in the park", "the cat ran on a mat", "the cat sat in the park"]
+    model, vocabulary = pitman_yor.fit(spark.createDataFrame([(k, lines[k % 4]) for k in range(40)], "doc_id long, text string"))
+    texts = ["the cat sat on the mat", "mat the on sat cat the", "the zebra sat", "", "a a a park"]
+    got = {r.doc_id: r.score for r in pitman_yor.score(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model, vocabulary).collect()}
+    assert got[0] > got[1] + 2
+    # the same from the seating, pair by pair
+    words, alone, table = {"": (0, model.ends, model.end_tables)}, {}, pitman_yor.stirling(model.discount)
+    words |= {r.word: (r.h, r.n, r.tables) for r in vocabulary.collect()}
+    customers = {r.word: r.c for r in vocabulary.collect()} | {"": model.end_customers}
+    known = 0.0
+    for w, (h, _, _) in words.items():
+        s, at = pitman_yor.spelled(np.frombuffer(w.encode(), np.uint8), np.zeros(1, np.int64), np.array([len(w.encode())]))
+        alone[w] = model.probability(np.array([h]), np.array([customers[w]]), s, at, table)[0]
+        known += model.base(s, at)[0]
+    unknown = model.unknown(known)
+    assert math.isclose(sum(alone.values()) + unknown, 1, rel_tol=1e-9)
+    pairs = {(r.a, r.b): (r.c, r.t) for r in model.pairs.collect()}
+
+    def p(a, b):
+        h, n, tables = words.get(a, (None, 0, 0))
+        c, t = pairs.get((h, words[b][0]), (0, 0)) if b in words else (0, 0)
+        return (c - model.pair_discount * t + (1 + model.pair_discount * tables) * alone.get(b, unknown)) / (1 + n)
+
+    for a in words:
+        assert math.isclose(sum(p(a, b) for b in words) + p(a, "zebra"), 1, rel_tol=1e-9)
+    for k, text in enumerate(texts):
+        w = ["", *text.split(), ""]
+        assert math.isclose(got[k], sum(math.log10(p(a, b)) for a, b in zip(w, w[1:], strict=False)), rel_tol=1e-9)
+
+
 def test_language_model_of_nothing(spark, frames):
     docs, _ = frames
     model, vocabulary = pitman_yor.fit(docs.limit(0))
