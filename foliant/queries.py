@@ -227,6 +227,12 @@ def q21_reference_marks(spark, d):
     return t(spark, d, "documents").select("doc_id", supplied.clean(F.concat(F.substring("text", 1, 60), tail)).alias("v"))
 
 
+@query("SELECT doc_id, regexp_replace(v, '([a-z]{3,})\\.\\d+(?:[,–-]\\d+)*', '\\1.', 'g') AS v FROM (SELECT doc_id, text || CASE doc_id % 3 WHEN 0 THEN ' years.1,3 and' WHEN 1 THEN ' in 2013.5 units' ELSE ' text.4–7' END AS v FROM documents)")
+def q21b_reference_marks_whole(spark, d):
+    tail = F.when(F.col("doc_id") % 3 == 0, " years.1,3 and").when(F.col("doc_id") % 3 == 1, " in 2013.5 units").otherwise(" text.4–7")
+    return t(spark, d, "documents").select("doc_id", supplied.clean(F.concat("text", tail)).alias("v"))
+
+
 HEADINGS = ["Introduction", "BACKGROUND", "Materials and methods", "Results and discussion", "Summary", "Key findings", "Preferences", "Study design", "Final remarks", "Case 1", "but this finding", "Methods.", "A very long heading on methods and results", "Conflict of interest", "Outcomes", "Aims"]
 KIND = "CASE " + " ".join(f"WHEN regexp_matches(lower(h), '{p}') THEN '{k}'" for k, p in sections.PATTERNS) + " ELSE 'other' END"
 VALUES = "(VALUES " + ", ".join(f"({k}, '{h}')" for k, h in enumerate(HEADINGS)) + ") AS v(k, h)"

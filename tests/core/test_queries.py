@@ -33,3 +33,9 @@ def test_equals_sql(spark, con, name):
 def test_candidate_queue_is_a_top_k(spark):
     plan = queries.q03_candidate_queue(spark, str(DATA))._jdf.queryExecution().executedPlan().toString()
     assert "TakeOrderedAndProject" in plan and "LeftAnti" in plan
+
+
+def test_reference_marks_are_cut_in_whole_texts(spark, con):
+    got = {r.doc_id: r.v for r in queries.QUERIES["q21b_reference_marks_whole"](spark, str(DATA)).collect()}
+    for doc, n in con.sql("SELECT doc_id, length(text) FROM documents").fetchall():
+        assert n < 200 or len(got[doc]) > 150
