@@ -27,8 +27,8 @@ from foliant.llm._text import ALNUM, Words, mix, mix2, runs, slices, view
 
 #: Labelled texts used to learn, at most; those with the smallest hashes of their ids.
 TOXIC_SAMPLE, CLEAN_SAMPLE = 800, 1600
-#: Longer labelled texts aren't used to learn.  All texts are scored whole.
-LEARN_BYTES = 1 << 16
+#: Bytes of these texts, which are whole: each label's draw ends before it exceeds half of them.
+LEARN_BYTES = 1 << 25
 PREFIXES = (4, 5, 6, 7)
 MOST_FEATURES = 1 << 15
 STEPS, RATE, RIDGE = 30, 0.3, 1e-3
@@ -132,16 +132,30 @@ def summary(m: np.ndarray, words: Words) -> np.ndarray:
     return np.column_stack([np.ones(n), top, np.log1p(likely), likely / np.maximum(words.n, 50) * 50])
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Chain:
+def fit(
+    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
+    toxic_sample: int = TOXIC_SAMPLE, clean_sample: int = CLEAN_SAMPLE, learn_bytes: int = LEARN_BYTES,
+) -> Chain:
     """The chain trained on a bounded sample of the labelled texts; null labels, ids and texts
-    have no part in it."""
+    have no part in it.  Texts are drawn whole, whatever their length, and at least one a label."""
     labels = labels.select(F.col(id_col).cast("long").alias("_id"), F.col(label_col).cast("int").alias("_label")).dropna()
     rows = []
     counts = {r._label: r.n for r in labels.groupBy("_label").agg(F.count("*").alias("n")).collect() if r._label in (0, 1)}
-    short = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_text")).where(F.octet_length("_text") <= LEARN_BYTES)
-    take = [labels.where(F.col("_label") == y).orderBy(F.xxhash64("_id"), "_id").limit(n) for y, n in ((1, TOXIC_SAMPLE), (0, CLEAN_SAMPLE))]
-    # at most TOXIC_SAMPLE + CLEAN_SAMPLE rows
-    rows = short.join(F.broadcast(take[0].unionByName(take[1])), "_id").select("_id", "_text", "_label").toArrow().sort_by([("_id", "ascending"), ("_text", "ascending")])
+    texts = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_text")).dropna()
+    take = [labels.where(F.col("_label") == y).orderBy(F.xxhash64("_id"), "_id").limit(n) for y, n in ((1, toxic_sample), (0, clean_sample))]
+    sizes = texts.select("_id", F.octet_length("_text").alias("_size")).join(F.broadcast(take[0].unionByName(take[1])), "_id")
+    sizes = sizes.groupBy("_label", "_id").agg(F.sum("_size").alias("_size")).orderBy(F.xxhash64("_id"), "_id").collect()
+    drawn = []
+    for y in (1, 0):
+        held = 0
+        for k, r in enumerate(r for r in sizes if r._label == y):
+            held += r._size
+            if k and held > learn_bytes // 2:
+                break
+            drawn.append((r._id, y))
+    drawn = docs.sparkSession.createDataFrame(drawn, "_id long, _label int")
+    # at most toxic_sample + clean_sample rows
+    rows = texts.join(F.broadcast(drawn), "_id").select("_id", "_text", "_label").toArrow().sort_by([("_id", "ascending"), ("_text", "ascending")])
     return train([(t.as_py(), y.as_py()) for t, y in zip(rows.column("_text"), rows.column("_label"), strict=True)], counts)
 
 

@@ -219,3 +219,14 @@ def test_toxicity(spark, frames):
     none = toxicity.fit(docs, labels.limit(0))
     assert all(r.score < 0.5 for r in toxicity.score(docs, none).collect())
     assert toxicity.score(docs.limit(0), chain).count() == 0
+
+
+def test_toxicity_learns_from_long_texts(spark):
+    rng = random.Random(1)
+    plain = lambda n: " ".join(rng.choice(["alpha", "beta", "gamma", "delta", "words", "more"]) for _ in range(n))
+    rows = [(k, plain(7000) + (" scumbag moron " + plain(7000) if k % 4 == 0 else plain(7000)), int(k % 4 == 0)) for k in range(16)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, y) for k, _, y in rows], "doc_id long, toxic int")
+    assert min(len(r[1]) for r in rows) > 1 << 16
+    assert len(toxicity.fit(docs, labels).key) > 0
+    assert len(toxicity.fit(docs, labels, toxic_sample=0).key) == 0
