@@ -98,18 +98,20 @@ class Sieve:
             whole[(r.k - 1) * 4096 : r.k * 4096] = np.frombuffer(bytes(r.b), np.uint8)
         self.bits, self.map = bits, spark.sparkContext.broadcast(whole)
 
+    def has(self, ids: np.ndarray) -> np.ndarray:
+        """Whether each id may be a member."""
+        # position p is bit p % 8 of byte p // 8, buckets of 32768 bits one after the other
+        p = (ids ^ (ids >> 27)) & (self.bits - 1)
+        return (self.map.value[p >> 3] >> (p & 7).astype(np.uint8)) & 1 == 1
+
     def split(self, df: DataFrame, column: str, member: bool) -> DataFrame:
         """The rows that may be members, or those that surely aren't; a null id is taken for a member."""
-        shared, bits, k = self.map, self.bits, df.columns.index(column)
+        k = df.columns.index(column)
 
         def run(batches):
-            whole = shared.value
             for batch in batches:
                 ids = batch.column(k)
-                at = ids.cast(pa.int64()).fill_null(0).to_numpy(zero_copy_only=False)
-                # position p is bit p % 8 of byte p // 8, buckets of 32768 bits one after the other
-                p = (at ^ (at >> 27)) & (bits - 1)
-                found = (whole[p >> 3] >> (p & 7).astype(np.uint8)) & 1 == 1
+                found = self.has(ids.cast(pa.int64()).fill_null(0).to_numpy(zero_copy_only=False))
                 found |= ids.is_null().to_numpy(zero_copy_only=False)
                 yield batch.filter(pa.array(found == member))
 

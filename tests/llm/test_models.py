@@ -107,8 +107,8 @@ def test_language_model_knows_the_order_of_words(spark, monkeypatch):
     got = {r.doc_id: r.score for r in pitman_yor.score(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model, vocabulary).collect()}
     assert got[0] > got[1] + 2
     # the same from the seating, pair by pair
-    words, alone, table = {"": (0, model.ends, model.end_tables)}, {}, pitman_yor.stirling(model.discount)
-    words |= {r.word: (r.h, r.n, r.tables) for r in vocabulary.collect()}
+    words, alone, table = {"": (0, model.ends, model.end_room)}, {}, pitman_yor.stirling(model.discount)
+    words |= {r.word: (r.h, r.n, r.room) for r in vocabulary.collect()}
     customers = {r.word: r.c for r in vocabulary.collect()} | {"": model.end_customers}
     known = 0.0
     for w, (h, _, _) in words.items():
@@ -120,9 +120,9 @@ def test_language_model_knows_the_order_of_words(spark, monkeypatch):
     pairs = {(r.a, r.b): (r.c, r.t) for r in model.pairs.collect()}
 
     def p(a, b):
-        h, n, tables = words.get(a, (None, 0, 0))
+        h, n, room = words.get(a, (None, 0, 1))
         c, t = pairs.get((h, words[b][0]), (0, 0)) if b in words else (0, 0)
-        return (c - model.pair_discount * t + (1 + model.pair_discount * tables) * alone.get(b, unknown)) / (1 + n)
+        return (c - model.pair_discount * t + room * alone.get(b, unknown)) / (1 + n)
 
     for a in words:
         assert math.isclose(sum(p(a, b) for b in words) + p(a, "zebra"), 1, rel_tol=1e-9)
