@@ -2,7 +2,7 @@
 
 The chain has two states, plain and toxic.  A word's features are its hash and those of its
 first bytes, so that forms of one stem share weight.  Only features that stand out in toxic
-training texts have weights; their number is bounded.  Words of toxic training texts that carry
+training texts have weights.  Words of toxic training texts that carry
 such a feature are the labelled tokens that the chain is trained on, together with all words of
 the clean ones, by gradient ascent on the likelihood.
 
@@ -26,11 +26,10 @@ from pyspark.sql import functions as F
 from foliant.llm._text import ALNUM, Words, mix, mix2, runs, slices, view
 
 #: Labelled texts used to learn, at most; those with the smallest hashes of their ids.
-TOXIC_SAMPLE, CLEAN_SAMPLE = 800, 1600
+TOXIC_SAMPLE, CLEAN_SAMPLE = 1500, 3000
 #: Bytes of these texts, which are whole: each label's draw ends before it exceeds half of them.
 LEARN_BYTES = 1 << 25
 PREFIXES = (4, 5, 6, 7)
-MOST_FEATURES = 1 << 15
 STEPS, RATE, RIDGE = 30, 0.3, 1e-3
 BLOCK = 256
 
@@ -137,7 +136,9 @@ def fit(
     toxic_sample: int = TOXIC_SAMPLE, clean_sample: int = CLEAN_SAMPLE, learn_bytes: int = LEARN_BYTES,
 ) -> Chain:
     """The chain trained on a bounded sample of the labelled texts; null labels, ids and texts
-    have no part in it.  Texts are drawn whole, whatever their length, and at least one a label."""
+    have no part in it.  Texts are drawn whole, whatever their length, and at least one a label;
+    rows that are alike count each; other columns are not read.  With texts of one label only, or
+    none, the chain has no features and every text the same score."""
     labels = labels.select(F.col(id_col).cast("long").alias("_id"), F.col(label_col).cast("int").alias("_label")).dropna()
     rows = []
     counts = {r._label: r.n for r in labels.groupBy("_label").agg(F.count("*").alias("n")).collect() if r._label in (0, 1)}
@@ -204,46 +205,44 @@ def train(rows: list[tuple[str, int]], counts: dict[int, int] | None = None) ->
     precision = toxic / (toxic + clean)
     # evidence: in three toxic texts or more, and far more often than chance would have it
     evidence = (seen >= 3) & (toxic / (toxic + clean + 1) > 0.5 + share / 2)
-    order = np.flatnonzero((seen >= 2) & (precision > 2 * share))
-    order = np.sort(order[np.argsort(-(toxic[order] * precision[order]), kind="stable")][:MOST_FEATURES])
+    order = np.flatnonzero(precision > 2 * share)
     key, strong, odds = key[order], evidence[order], np.log((toxic[order] + 0.1) / (clean[order] + 0.5))
     weight = np.where(strong, np.clip(odds, 0, 3), 0)
 
-    ids, held, begins, at = [], [], [], 0  # a few bytes a word
+    # a few bytes a word: the features' numbers, the labels, and where documents begin, part by part
+    seen_parts = []
     for words, s in parts():
         x = features(words)
         place = np.minimum(np.searchsorted(key, x), max(0, len(key) - 1))
         place = np.where(key[place] == x, place, len(key)) if len(key) else np.zeros(x.shape, np.int64)
-        marked = np.append(strong, False)[place].any(1) & (label[s][words.doc()] == 1)
-        ids.append(place.astype(np.int32))
-        held.append(marked)
-        begins.append(words.first[:-1][words.n > 0] + at)
-        at += len(x)
-    ids, y, begin = np.concatenate(ids), np.concatenate(held), np.concatenate(begins)
-    first = np.zeros(len(y), bool)
-    first[begin] = True
-    follow = np.flatnonzero(~first[1:]) if len(y) > 1 else np.zeros(0, np.int64)
+        y = np.append(strong, False)[place].any(1) & (label[s][words.doc()] == 1)
+        begin = words.first[:-1][words.n > 0]
+        first = np.zeros(len(y), bool)
+        first[begin] = True
+        seen_parts.append((place.astype(np.int32), y, begin, np.flatnonzero(~first[1:])))
     # parameters: weights, bias, the three free transitions, the start; Adam on the mean likelihood
-    n = len(weight)
-    theta = np.concatenate([weight, [np.log(max(y.mean(), 1e-6)), 0, 0, 0, 0]])
+    n, size = len(weight), max(1, sum(int(y.sum()) for _, y, _, _ in seen_parts))
+    tokens = max(1, sum(len(y) for _, y, _, _ in seen_parts))
+    theta = np.concatenate([weight, [np.log(max(sum(int(y.sum()) for _, y, _, _ in seen_parts) / tokens, 1e-6)), 0, 0, 0, 0]])
     mean, square = np.zeros_like(theta), np.zeros_like(theta)
-    pair = np.bincount(y[follow].astype(int) * 2 + y[follow + 1], minlength=4).astype(float) if len(follow) else np.zeros(4)
-    size = max(1, int(y.sum()))
     for step in range(1, STEPS + 1):
         w = np.append(theta[:n], 0)
-        logit = sum(w[ids[:, k]] for k in range(ids.shape[1])) + theta[n]
         a = np.exp(np.array([[0, theta[n + 1]], [theta[n + 2], theta[n + 3]]]))
-        m, forward, g = marginals(logit, begin, a, float(np.exp(theta[n + 4])))
-        left = y - m
         slope = np.zeros_like(theta)
-        slope[:n] = sum(np.bincount(ids[:, k], left, minlength=n + 1) for k in range(ids.shape[1]))[:n] - RIDGE * size * theta[:n]
-        slope[n] = left.sum()
-        if len(follow):
-            f, b = forward[follow], g[follow + 1]
-            cells = [a[0, 1] * b, f * a[1, 0], f * a[1, 1] * b]
-            size_of = a[0, 0] + sum(cells)
-            slope[n + 1 : n + 4] = pair[1:] - [(c / size_of).sum() for c in cells]
-        slope[n + 4] = (y[begin] - m[begin]).sum()
+        slope[:n] = -RIDGE * size * theta[:n]
+        for ids, y, begin, follow in seen_parts:
+            logit = sum(w[ids[:, k]] for k in range(ids.shape[1])) + theta[n]
+            m, forward, g = marginals(logit, begin, a, float(np.exp(theta[n + 4])))
+            left = y - m
+            slope[:n] += sum(np.bincount(ids[:, k], left, minlength=n + 1) for k in range(ids.shape[1]))[:n]
+            slope[n] += left.sum()
+            if len(follow):
+                f, b = forward[follow], g[follow + 1]
+                cells = [a[0, 1] * b, f * a[1, 0], f * a[1, 1] * b]
+                size_of = a[0, 0] + sum(cells)
+                pair = np.bincount(y[follow].astype(int) * 2 + y[follow + 1], minlength=4)
+                slope[n + 1 : n + 4] += pair[1:] - [(c / size_of).sum() for c in cells]
+            slope[n + 4] += (y[begin] - m[begin]).sum()
         slope /= size
         mean, square = 0.8 * mean + 0.2 * slope, 0.95 * square + 0.05 * slope**2
         theta += RATE * (mean / (1 - 0.8**step)) / (np.sqrt(square / (1 - 0.95**step)) + 1e-4)
@@ -274,6 +273,8 @@ def score(docs: DataFrame, chain: Chain, id_col: str = "doc_id", text_col: str =
 
     spans: runs of words whose marginal is over `least`, as code points from the text's start,
     with their largest marginal.  Null and empty texts get the score of a text without words.
+    Rows that are alike, and rows without an id, are scored each, texts of any length whole; ids
+    must be numbers; an empty table gives none; other columns are not read.
     """
     shared = docs.sparkSession.sparkContext.broadcast(chain)
     kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("probability", pa.float64())]))
