@@ -1,3 +1,5 @@
+import time
+
 import duckdb
 import pandas as pd
 
@@ -31,3 +33,27 @@ def test_no_python_in_the_plan(spark):
     frame = spark.createDataFrame([(1, "a")], "doc_id long, text string")
     plan = L.deduplicate(frame)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_texts_that_share_an_id_keep_their_own_lines(spark):
+    rows = [(1, "a1\nb1\nc1"), (2, "a1\nb1\nc1\nd"), (2, "k\nl\nm\nn"), (3, "l\nm\nn")]
+    got = sorted((r.doc_id, r.text, r["_deleted"]) for r in L.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [(1, "a1\nb1\nc1", 0), (2, "d", 3), (2, "k\nl\nm\nn", 0), (3, "", 3)]
+
+
+def test_only_some_lines_are_fingerprints(spark):
+    text = "\n".join(f"line {k}" for k in range(3000))
+    n = L.fingerprints(spark.createDataFrame([(1, text)], "doc_id long, text string"), "doc_id", "text", 3).count()
+    assert 1000 <= n <= 1700
+
+
+def test_time_grows_with_the_lines(spark):
+    def seconds(n):
+        rows = [(1, "x\ny\nz"), (2, "\n".join(f"line {k}" for k in range(n)) + "\nx\ny\nz")]
+        frame = spark.createDataFrame(rows, "doc_id long, text string")
+        began = time.time()
+        assert sorted(r["_deleted"] for r in L.deduplicate(frame).collect()) == [0, 3]
+        return time.time() - began
+
+    seconds(100)
+    assert seconds(200_000) < 20
