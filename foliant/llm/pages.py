@@ -1,12 +1,14 @@
 """Main text of web pages by tag-path ratios.
 
 A page's text nodes are grouped by the path of tags from the root.  Each path has the mean
-length of its texts and the mean number of their punctuation marks; both are smoothed over the
-sequence of nodes in the page, fused as a geometric mean and compared with a threshold from
-their spread.  The nodes above it say where the article is: it is the article or main element
-around the place that holds nearly all of their text, or else the smallest element that holds
-all of them and all nodes of paths that are above it on average.  The blocks inside it are the
-result, but for elements that are boilerplate by tag, role or class, and for lists of links.
+length of its texts, links not counted, and the mean number of their punctuation marks; both are
+smoothed over the sequence of nodes in the page and fused as a geometric mean.  A class or id that
+names boilerplate, and a list of links, is a prior: it makes the ratio of what is inside a twentieth.
+Nodes above a threshold from the ratios' spread, and paths above the mean, are content.  They say
+where the article is: the article or main element around the place that holds nearly all of their
+text, or else the smallest element that holds all of those paths.  Inside it every block stays that isn't
+under a prior, and those that are if the threshold chose them; elements that are no article by
+their tag or role (nav, aside, footer, form, script) have no part in all this.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SPREAD, HELD = 0.5, 0.85
+SPREAD, HELD, PRIOR = 0.5, 0.85, 0.05
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?/](?![a-zA-Z])[^>]*(?:>|\Z)|<!\w[^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(>|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]*)))?")
@@ -71,12 +73,12 @@ class Element:
     path: int
     link: bool
     out: bool = False
+    prior: float = 1.0
     text: int = 0
     links: int = 0
     content: float = 0.0
     chosen: float = 0.0
     inside: bool = False
-    menu: bool = False
     kids: list = field(default_factory=list)
 
     def above(self) -> Iterator[Element]:
@@ -108,11 +110,11 @@ def _why(tag: str, attributes: str) -> str:
 
 
 def judge(elements: list[Element]) -> None:
-    """Which elements are out: boilerplate by themselves, or inside such.
+    """Which elements are out by their tag or role, or inside such, and the prior of the others.
 
     A class may name what an element has and not what it is ("has-sidebar"): one that holds the
-    main element or the page's title isn't boilerplate for its class.  Headings in an article's
-    own header belong to the article.
+    main element or the page's title has no prior for its class.  Headings in an article's own
+    header belong to the article.
     """
     mains, titles = set(), set()
     for e in reversed(elements[1:]):
@@ -121,9 +123,11 @@ def judge(elements: list[Element]) -> None:
         if e.tag == "h1" or id(e) in titles:
             titles.add(id(e.up))
     for e in elements[1:]:
-        own = e.why == "tag" or e.why and id(e) not in mains and not (e.why == "word" and id(e) in titles)
+        named = e.why in ("word", "frame", "header") and id(e) not in mains and not (e.why == "word" and id(e) in titles)
+        linked = e.tag in ("ul", "ol", "dl", "table") and len(e.kids) >= 3 and e.links > 0.8 * e.text
         heading = e.tag in HEADINGS and e.up.why == "header" and e.up.up is not None and not e.up.up.out and any(x.tag in ("article", "main") for x in e.up.above())
-        e.out = bool(own) or e.up.out and not heading
+        e.out = e.why == "tag" or e.up.out
+        e.prior = (e.up.up.prior if heading else e.up.prior) if not (named or linked) else PRIOR
 
 
 @dataclass
@@ -133,6 +137,7 @@ class Node:
     at: Element
     text: str
     block: int
+    chosen: bool = False
 
 
 def parse(page: str) -> tuple[list[Element], list[Node]]:
@@ -203,16 +208,22 @@ def parse(page: str) -> tuple[list[Element], list[Node]]:
     return elements, nodes
 
 
-def fused(nodes: list[Node]) -> np.ndarray:
-    """The smoothed and fused ratio of each node's path."""
-    length = np.array([len("".join(n.text.split())) for n in nodes], float)
+def path_ratios(nodes: list[Node]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The path of each node, and the mean length and punctuation of that path's texts."""
+    length = np.array([0 if n.at.link else len("".join(n.text.split())) for n in nodes], float)
     marks = np.array([len(_PUNCT.findall(n.text)) for n in nodes], float)
     of = np.array([n.at.path for n in nodes])
     many = np.maximum(np.bincount(of), 1)
-    ratios = [(np.bincount(of, x) / many)[of] for x in (length, marks)]
-    kernel = np.array([0.25, 0.5, 0.25])
-    smooth = [np.convolve(np.pad(x, 1, mode="edge"), kernel, "valid") for x in ratios]
-    return np.sqrt(smooth[0] * (1 + smooth[1]))
+    return of, *((np.bincount(of, x) / many)[of] for x in (length, marks))
+
+
+def fused(nodes: list[Node], smooth: bool = True) -> np.ndarray:
+    """The ratio of each node: its path's, smoothed, fused, and by its prior."""
+    _, *ratios = path_ratios(nodes)
+    if smooth:
+        kernel = np.array([0.25, 0.5, 0.25])
+        ratios = [np.convolve(np.pad(x, 1, mode="edge"), kernel, "valid") for x in ratios]
+    return np.sqrt(ratios[0] * (1 + ratios[1])) * np.array([n.at.prior for n in nodes])
 
 
 def holder(root: Element, kind: str, share: float) -> Element:
@@ -228,6 +239,13 @@ def holder(root: Element, kind: str, share: float) -> Element:
 def extract(page: str | None) -> str:
     """The article's blocks, one a line; without any, or for null, an empty text."""
     elements, nodes = parse(page or "")
+    for n in nodes:
+        size = len(n.text.strip())
+        n.at.text += size
+        n.at.links += size * n.at.link
+    for e in reversed(elements[1:]):
+        e.up.text += e.text
+        e.up.links += e.links
     judge(elements)
     nodes = [n for n in nodes if not n.at.out]
     said = [n for n in nodes if n.text.strip()]
@@ -235,17 +253,15 @@ def extract(page: str | None) -> str:
         return ""
     ratio = fused(said)
     least = min(ratio.max(), ratio.mean() - SPREAD * ratio.std())
-    content, of = ratio >= least, np.array([n.at.path for n in said])
-    chosen = content | ((np.bincount(of, ratio) / np.maximum(np.bincount(of), 1))[of] >= least)
+    content = ratio >= least
+    # a node beside content is smoothed up; a path is content only by itself
+    alone = fused(said, smooth=False)
+    chosen = alone >= min(alone.max(), alone.mean())
     for n, c, p in zip(said, content, chosen, strict=True):
-        size = len(n.text.strip())
-        n.at.text += size
-        n.at.links += size * n.at.link
-        n.at.content += size * c
-        n.at.chosen += size * p
+        n.chosen = bool(c and p)
+        n.at.content += len(n.text.strip()) * c
+        n.at.chosen += len(n.text.strip()) * p
     for e in reversed(elements[1:]):
-        e.up.text += e.text
-        e.up.links += e.links
         e.up.content += e.content
         e.up.chosen += e.chosen
     place = holder(elements[0], "content", HELD)
@@ -256,10 +272,9 @@ def extract(page: str | None) -> str:
     for e in elements[1:]:
         if e is not top and e.up.inside:
             e.inside = True
-            e.menu = e.up.menu or e.tag in ("ul", "ol", "dl", "table") and len(e.kids) >= 3 and e.links > 0.8 * e.text
     blocks: dict[int, list[str]] = {}
     for n in nodes:
-        if n.at.inside and not n.at.menu:
+        if n.at.inside and (n.at.prior == top.prior or n.chosen):
             blocks.setdefault(n.block, []).append(n.text)
     found = (" ".join("".join(b).split()) for b in blocks.values())
     return "\n".join(b for b in found if b)

@@ -50,3 +50,45 @@ def test_frame(spark):
     want = CASES["plain"][1]
     assert got == sorted([(1, "u", want, len(want))] * 2 + [(2, None, "", 0), (None, "v", "", 0)], key=str)
     assert extract_pages(frame.limit(0)).count() == 0
+
+
+def test_paths_choose_where_classes_say_nothing():
+    menu = "<ul class=k1>" + "".join(f"<li><a href=/{k}>Topic {k}</a></li>" for k in range(9)) + "</ul>"
+    teasers = "".join(f"<div class=k2><span class=k3>Item {k}</span></div>" for k in range(9))
+    page = f"<body><div class=k0>{menu}</div><div class=k4><h2>Head</h2>{f'<p>{LOREM}</p>' * 6}<p>Short.</p></div><div class=k5>{teasers}</div></body>"
+    assert extract(page) == "\n".join(["Head"] + [LOREM] * 6 + ["Short."])
+
+
+def test_a_class_is_a_prior_only():
+    # the whole article under a class that names boilerplate: nothing else competes with it
+    page = f"<body><div class=nav-wrap><div class=k4>{f'<p>{LOREM}</p>' * 6}</div></div><footer>Foot, note.</footer></body>"
+    assert extract(page).count(LOREM) == 6
+
+
+def test_path_ratios_equal_brute_force():
+    from collections import defaultdict
+    from html.parser import HTMLParser
+
+    from foliant.llm.pages import parse, path_ratios
+
+    page = f"<html><body><div><p>{LOREM}</p><p>One, <b>two.</b> three</p></div><div><ul><li>a, b</li><li><a>link; text</a></li></ul><p>Last!</p></div></body></html>"
+    texts, stack = defaultdict(list), []
+
+    class Plain(HTMLParser):
+        def handle_starttag(self, tag, attrs):
+            stack.append(tag)
+
+        def handle_endtag(self, tag):
+            stack.pop()
+
+        def handle_data(self, text):
+            texts["/".join(stack)].append((0 if "a" in stack else len("".join(text.split())), sum(c in ".,;:!?" for c in text)))
+
+    Plain().feed(page)
+    want = {path: tuple(sum(x[k] for x in t) / len(t) for k in (0, 1)) for path, t in texts.items()}
+    _, nodes = parse(page)
+    of, length, marks = path_ratios(nodes)
+    for n, a, b in zip(nodes, length, marks, strict=True):
+        path = "/".join([*(e.tag for e in reversed([*n.at.above()]) if e.tag), n.at.tag])
+        assert (a, b) == want[path]
+    assert len(set(of)) == len(want)
