@@ -203,28 +203,33 @@ def definitions(config: DataFrame) -> DataFrame:
     return config.groupBy("query", "year_min", "year_max", "max_records").agg(F.min("created_at").alias("first_used"))
 
 
-#: Definitions compared in place; with more, records and definitions are put on one line of time.
-MOST_DEFINITIONS = 1000
+#: Records of one day that are put in order in one task, about.
+DAY_ROWS = 1 << 20
 
 
 def definition_of(abstract: DataFrame, config: DataFrame) -> DataFrame:
-    """pmid and the definition in force when the record arrived: the latest one recorded by then."""
-    marks = config.select(F.col("created_at").alias("at"), "config_hash")
-    few = marks.orderBy("at", "config_hash").limit(MOST_DEFINITIONS + 1).collect()
-    if len(few) <= MOST_DEFINITIONS:
-        found = F.lit(None).cast("string")
-        for r in few:
-            found = F.when(F.col("ingested_at") >= F.lit(r["at"]), r["config_hash"]).otherwise(found)
-        return abstract.select("pmid", found.alias("config_hash"))
-    # each day's records see that day's definitions, and the last one of the days before
-    day = F.to_date("at")
-    line = marks.withColumn("pmid", F.lit(None).cast("string")).unionByName(abstract.select(F.col("ingested_at").alias("at"), F.lit(None).cast("string").alias("config_hash"), "pmid"))
-    last = marks.groupBy(day.alias("day")).agg(F.max_by("config_hash", F.struct("at", "config_hash")).alias("closing"))
-    days = line.select(day.alias("day")).distinct().join(last, "day", "left")
-    before = days.withColumn("opening", F.last("closing", ignorenulls=True).over(Window.orderBy("day").rowsBetween(Window.unboundedPreceding, -1))).select("day", "opening")
-    within = Window.partitionBy("day").orderBy("at", F.col("pmid").asc_nulls_first(), "config_hash").rowsBetween(Window.unboundedPreceding, 0)
-    carried = line.withColumn("day", day).withColumn("config_hash", F.last("config_hash", ignorenulls=True).over(within)).where("pmid is not null")
-    return carried.join(before, "day", "left").select("pmid", F.coalesce("config_hash", "opening").alias("config_hash"))
+    """pmid and the definition in force when the record arrived: the latest one recorded by then.
+
+    Records and definitions are put on one line of time, day by day; the records of a full day are
+    dealt to several lines, each with all definitions of the day.  A day begins with the last
+    definition of the days before.  Of definitions recorded at once the one with the largest hash
+    counts; without a time of arrival there is none.
+    """
+    marks = config.select(F.col("created_at").alias("at"), "config_hash").where("at is not null")
+    rows = abstract.select(F.col("ingested_at").alias("at"), "pmid")
+    day = F.to_date("at").alias("day")
+    last = marks.groupBy(day).agg(F.max_by("config_hash", F.struct("at", "config_hash")).alias("closing"))
+    days = rows.groupBy(day).agg(F.ceil(F.count("*") / DAY_ROWS).cast("int").alias("lines")).join(last, "day", "full")
+    earlier = Window.orderBy(F.col("day").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
+    # a row for each day: a few ten thousand in a century
+    days = F.broadcast(days.select("day", F.coalesce("lines", F.lit(0)).alias("lines"), F.last("closing", ignorenulls=True).over(earlier).alias("opening")))
+    none = F.lit(None).cast("string")
+    dealt = rows.withColumn("day", day).join(days, "day", "left").select("at", "pmid", "day", "opening", F.pmod(F.xxhash64("pmid"), F.coalesce("lines", F.lit(1))).cast("int").alias("line"), F.lit(True).alias("record"), none.alias("config_hash"))
+    copied = marks.withColumn("day", day).join(days, "day").where("lines > 0")
+    copied = copied.select("at", none.alias("pmid"), "day", none.alias("opening"), F.explode(F.sequence(F.lit(0), F.col("lines") - 1)).alias("line"), F.lit(False).alias("record"), "config_hash")
+    within = Window.partitionBy("day", "line").orderBy("at", "record", "config_hash").rowsBetween(Window.unboundedPreceding, 0)
+    carried = dealt.unionByName(copied).withColumn("found", F.last("config_hash", ignorenulls=True).over(within)).where("record")
+    return carried.select("pmid", F.coalesce("found", "opening").alias("config_hash"))
 
 
 def paper_sections(paper: DataFrame) -> DataFrame:

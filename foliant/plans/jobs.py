@@ -31,9 +31,40 @@ def _new_record() -> dict:
     return {"fetch_failed": F.lit(False), "ingested_at": F.current_timestamp()}
 
 
+#: Pages and bytes that are landed together.
+LAND_PAGES, LAND_BYTES = 32, 32 << 20
+
+
 def _land(store: Store, batch_id: str, seq: int, kind: str, payload: bytes) -> None:
-    row = [(batch_id, seq, kind, bytearray(payload), datetime.now(timezone.utc))]
-    store.land(store.spark.createDataFrame(row, LANDING))
+    _land_all(store, [(batch_id, seq, kind, bytearray(payload), datetime.now(timezone.utc))])
+
+
+def _land_all(store: Store, rows: list[tuple]) -> None:
+    if rows:
+        store.land(store.spark.createDataFrame(rows, LANDING).coalesce(1))
+
+
+class _Landing:
+    """Pages on their way to the store, some at a time; on the way out of the block all are landed."""
+
+    def __init__(self, store: Store, kind: str):
+        self.store, self.kind, self.rows, self.bytes = store, kind, [], 0
+
+    def __enter__(self) -> _Landing:
+        return self
+
+    def add(self, batch_id: str, seq: int, payload: bytes) -> None:
+        self.rows.append((batch_id, seq, self.kind, bytearray(payload), datetime.now(timezone.utc)))
+        self.bytes += len(payload)
+        if len(self.rows) >= LAND_PAGES or self.bytes >= LAND_BYTES:
+            self.flush()
+
+    def flush(self) -> None:
+        _land_all(self.store, self.rows)
+        self.rows, self.bytes = [], 0
+
+    def __exit__(self, *_: object) -> None:
+        self.flush()
 
 
 def record_definition(store: Store, config: IngestConfig) -> str:
@@ -55,8 +86,8 @@ def merge_records(store: Store, landing: DataFrame) -> int:
     new = corpus.last_wins(values, "pmid", "batch_id", "seq")
     n = values.count()
     if n:
-        store.write("abstract", corpus.merge_upsert(store.read("abstract"), new, "pmid", OWNERS["sync"], _new_record()))
-        store.write("paper", corpus.recited(store.read("paper"), new.select("pmid", "pubmed")))
+        records = corpus.merge_upsert(store.read("abstract"), new, "pmid", OWNERS["sync"], _new_record())
+        store.commit({"abstract": records, "paper": corpus.recited(store.read("paper"), new.select("pmid", "pubmed"))})
     return n
 
 
@@ -79,15 +110,16 @@ def sync(
     total = min(found.count, config.max_records) if whole and config.max_records else found.count
     run = f"{datetime.now(timezone.utc):%Y%m%dT%H%M%S%f}-{uuid.uuid4().hex[:8]}"
     failure = None
-    for k, (start, take) in enumerate(offsets(total, batch_size or config.batch_size)):
-        try:
-            page = client.fetch_batch(found.webenv, found.query_key, start, take)
-        except Exception as error:  # noqa: BLE001  what was landed before is merged, then it goes on up
-            log.exception("sync stopped at record %d of %d", start, total)
-            failure = error
-            break
-        _land(store, f"{run}-{k:06d}", k, "pubmed", page)
-    n = merge_records(store, store.landed().where(F.col("batch_id").startswith(run))) if total else 0
+    with _Landing(store, "pubmed") as landing:
+        for k, (start, take) in enumerate(offsets(total, batch_size or config.batch_size)):
+            try:
+                page = client.fetch_batch(found.webenv, found.query_key, start, take)
+            except Exception as error:  # noqa: BLE001  what was read before is landed and merged, then it goes on up
+                log.exception("sync stopped at record %d of %d", start, total)
+                failure = error
+                break
+            landing.add(f"{run}-{k:06d}", k, page)
+    n = merge_records(store, store.landed(run)) if total else 0
     if failure:
         raise failure
     return n
@@ -108,27 +140,28 @@ def fetch_fulltext(
         queue = [(p, c or client.elink_pmcid(p)) for p, c in queue]
     run = f"{datetime.now(timezone.utc):%Y%m%dT%H%M%S%f}-{uuid.uuid4().hex[:8]}"
     asked, failure = [(p, c, False) for p, c in queue if not c], None
-    for k, part in enumerate(batches([f"{p}\t{c}" for p, c in queue if c], batch_size or config.pmc_batch_size)):
-        rows = [tuple(x.split("\t")) for x in part]
-        try:
-            _land(store, f"{run}-{k:06d}", k, "pmc", client.fetch_pmc([c for _, c in rows]))
-            asked += [(p, c, False) for p, c in rows]
-        except Exception:  # noqa: BLE001  a batch that fails, for whatever reason, costs itself only
-            log.exception("batch %d failed", k)
-            asked += [(p, c, True) for p, c in rows]
-        except BaseException as error:  # noqa: BLE001  an interrupt: what is settled is kept, and it goes on up
-            failure = error
-            break
+    with _Landing(store, "pmc") as landing:
+        for k, part in enumerate(batches([f"{p}\t{c}" for p, c in queue if c], batch_size or config.pmc_batch_size)):
+            rows = [tuple(x.split("\t")) for x in part]
+            try:
+                landing.add(f"{run}-{k:06d}", k, client.fetch_pmc([c for _, c in rows]))
+                asked += [(p, c, False) for p, c in rows]
+            except Exception:  # noqa: BLE001  a batch that fails, for whatever reason, costs itself only
+                log.exception("batch %d failed", k)
+                asked += [(p, c, True) for p, c in rows]
+            except BaseException as error:  # noqa: BLE001  an interrupt: what is settled is kept, and it goes on up
+                failure = error
+                break
     records = spark.createDataFrame(asked, "pmid string, pmc_id string, batch_failed boolean").join(abstract.select("pmid", "pubmed_xml"), "pmid")
     records = records.select("pmid", "pmc_id", "batch_failed", parse_record(F.col("pubmed_xml")).alias("pubmed"))
-    articles = read_articles(store.landed().where(F.col("batch_id").startswith(run)))
+    articles = read_articles(store.landed(run))
     settled = corpus.outcomes(corpus.match_articles(records, articles), paper).select("pmid", "pmc_id", "outcome", "fulltext", "jats_xml", "citation").persist()
     try:
         out = {r.outcome: r.n for r in corpus.tally(settled).collect()}
-        store.write("paper", corpus.merge_upsert(paper, settled.where("outcome = 'ok'"), "pmid", OWNERS["fetch"], touch=None))
+        papers = corpus.merge_upsert(paper, settled.where("outcome = 'ok'"), "pmid", OWNERS["fetch"], touch=None)
         state = settled.select("pmid", (F.col("outcome") != "ok").alias("fetch_failed"), "pmc_id")
         update = ["fetch_failed", "pmc_id"] if relink else ["fetch_failed"]
-        store.write("abstract", corpus.merge_upsert(abstract, state, "pmid", update))
+        store.commit({"paper": papers, "abstract": corpus.merge_upsert(abstract, state, "pmid", update)})
     finally:
         settled.unpersist()
     if failure:
@@ -141,8 +174,8 @@ def reparse(store: Store) -> int:
     records = store.read("abstract").select("pubmed_xml", parse_record(F.col("pubmed_xml")).alias("pubmed")).where("pubmed is not null")
     values = corpus.abstract_values(records).dropDuplicates(["pmid"])
     n = values.count()
-    store.write("abstract", corpus.merge_upsert(store.read("abstract"), values, "pmid", OWNERS["reparse"]))
-    store.write("paper", corpus.recited(store.read("paper"), values.select("pmid", "pubmed")))
+    records = corpus.merge_upsert(store.read("abstract"), values, "pmid", OWNERS["reparse"])
+    store.commit({"abstract": records, "paper": corpus.recited(store.read("paper"), values.select("pmid", "pubmed"))})
     return n
 
 
@@ -163,9 +196,9 @@ def import_snapshot(store: Store, path: str | list[str], batch_files: bool = Fal
     if n:
         numbered = decoded.withColumn("_seq", F.monotonically_increasing_id())
         rows = corpus.last_wins(numbered, "pmid", "_seq")
-        store.write("abstract", corpus.merge_upsert(store.read("abstract"), rows, "pmid", OWNERS["snapshot"], _new_record()))
+        records = corpus.merge_upsert(store.read("abstract"), rows, "pmid", OWNERS["snapshot"], _new_record())
         held = rows.where("paper is not null").select("paper.*")
-        store.write("paper", corpus.merge_upsert(store.read("paper"), held, "pmid", OWNERS["fetch"], touch=None))
+        store.commit({"abstract": records, "paper": corpus.merge_upsert(store.read("paper"), held, "pmid", OWNERS["fetch"], touch=None)})
     return n
 
 
@@ -182,9 +215,9 @@ def seed_paper(store: Store, pmid: str, payload: dict, profile: SeedProfile = DE
     new = store.spark.createDataFrame([(pmid, full)], f"pmid string, fulltext {FULLTEXT.simpleString()}")
     stored = store.read("abstract").where(F.col("pmid") == pmid).select("pmid", reference(parse_record(F.col("pubmed_xml"))).alias("citation"))
     rows = new.join(stored, "pmid").withColumn("jats_xml", F.lit(profile.seeded_jats))
-    store.write("paper", corpus.merge_upsert(store.read("paper"), rows, "pmid", OWNERS["fetch"], touch=None))
+    papers = corpus.merge_upsert(store.read("paper"), rows, "pmid", OWNERS["fetch"], touch=None)
     state = new.select("pmid", F.lit(False).alias("fetch_failed"))
-    store.write("abstract", corpus.merge_upsert(store.read("abstract"), state, "pmid", ["fetch_failed"]))
+    store.commit({"paper": papers, "abstract": corpus.merge_upsert(store.read("abstract"), state, "pmid", ["fetch_failed"])})
     log.warning("pmid %s: seeded by hand (%d sections)", pmid, len(payload["sections"]))
 
 

@@ -111,11 +111,24 @@ def test_dates():
 
 def test_broken_batches():
     good, bad = fakes.record("1"), "<PubmedArticle><MedlineCitation><PMID>2</PMID></Oops></PubmedArticle>"
-    assert [r["pmid"] for r in records.citation_records(fakes.batch(good, bad, fakes.record("3")))] == ["1", "3"]
-    assert records.citation_records(b"<PubmedArticleSet><PubmedArticle><MedlineCitation><PMID>1</PMID>") == []
+    assert [r["pmid"] for r in records.citation_records(fakes.batch(good, bad, fakes.record("3")))] == ["1", "2", "3"]
+    assert [r["pmid"] for r in records.citation_records(b"<PubmedArticleSet><PubmedArticle><MedlineCitation><PMID>1</PMID>")] == ["1"]
     assert records.citation_records(b"<PubmedArticleSet/>") == records.citation_records(None) == records.citation_records(b"") == []
     cut = fakes.articles(fakes.article("1", "PMC1"), "<article><front></article>", fakes.article("2", "2"))
-    assert [(a["pmid"], a["pmcid"], a["license"]) for a in records.full_texts(cut)] == [("1", "PMC1", "CC BY-NC"), ("2", "PMC2", "CC BY-NC")]
+    assert [(a["pmid"], a["pmcid"], a["license"]) for a in records.full_texts(cut)] == [("1", "PMC1", "CC BY-NC"), (None, None, None), ("2", "PMC2", "CC BY-NC")]
+
+
+def test_what_can_be_read_of_a_broken_record_is_kept():
+    xml = fakes.batch(fakes.record("1", "A &nbsp;b &amp; c <i>d</b> e"), fakes.record("2"))
+    one, two = records.citation_records(xml)
+    assert (one["pmid"], one["title"], one["pages"], one["journal"]) == ("1", "A b & c d e", "10-9", "J Tests.") and two["title"] == "A study"
+    assert records.citation_records(one["raw_xml"])[0]["title"] == one["title"] and two["raw_xml"] == fakes.record("2")
+    whole = fakes.batch(fakes.record("1"), fakes.record("2", "Longer title", authors=2))
+    for n in range(60, len(whole)):  # cut off anywhere
+        found = records.citation_records(whole[:n])
+        assert [r["pmid"] for r in found] in ([], ["1"], ["1", "2"]) and (n < len(fakes.batch(fakes.record("1"))) or found[0]["title"] == "A study")
+    (a,) = records.full_texts(fakes.articles(fakes.article("1", "PMC1", "<sec><title>Discussion</title><p>a &undefined; b < c</p><p><![CDATA[x < y]]></p>")))
+    assert a["sections"] == [{"type": "discussion", "title": "Discussion", "text": "a b < c\n\nx < y"}] and a["license"] == "CC BY-NC"
 
 
 def test_articles():

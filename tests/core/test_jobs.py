@@ -1,6 +1,7 @@
 import json
 import sys
-from datetime import date, datetime, timezone
+from bisect import bisect_right
+from datetime import date, datetime, timedelta, timezone
 from pathlib import Path
 
 sys.path.insert(0, str(Path(__file__).resolve().parent))
@@ -14,7 +15,7 @@ from foliant.functions.supplied import SeedError, parse_text
 from foliant.operators import corpus, search
 from foliant.plans import jobs
 from foliant.plans.config import IngestConfig, build_query, incremental_term
-from foliant.schemas import CORPUS_CONFIG
+from foliant.schemas import CORPUS_CONFIG, PAPER
 from foliant.sources import remote, snapshot
 from foliant.sources.tables import Store
 from foliant.streaming.ingest import ingest
@@ -156,7 +157,62 @@ def test_store(store):
     assert store.version("paper") is None and store.landed().count() == 0
 
 
-def test_definitions(spark):
+def test_a_writer_that_dies_anywhere_leaves_the_state(store, monkeypatch):
+    def papers(*ids):
+        return store.spark.createDataFrame([(p, None, None, None) for p in ids], PAPER)
+
+    store.create()
+    store.commit({"paper": papers("1"), "abstract": store.read("abstract")})
+    before = store.state()
+
+    def dies(*_):
+        raise KeyboardInterrupt
+
+    # before the log entry; over it; after it
+    monkeypatch.setattr(store, "_log", dies)
+    with pytest.raises(KeyboardInterrupt):
+        store.commit({"paper": papers("2")})
+    monkeypatch.undo()
+    assert store.state() == before and pmids(store.read("paper")) == ["1"]
+    path = store._path("_log", f"{before['tables']['paper'] + 1:012d}")
+    store._fs(path).create(path, False).close()
+    assert store.state() == before and pmids(store.read("paper")) == ["1"]
+    monkeypatch.setattr(store, "_tidy", dies)
+    with pytest.raises(KeyboardInterrupt):
+        store.write("paper", papers("1", "2"))
+    monkeypatch.undo()
+    assert pmids(store.read("paper")) == ["1", "2"] and store.version("abstract") == before["tables"]["abstract"]
+    for k in range(6):
+        store.write("paper", papers(str(k)))
+    assert pmids(store.read("paper")) == ["5"] and store.read("abstract").count() == 0
+    with pytest.raises(Exception, match="already exists|FileAlreadyExists"):
+        store._log(store._entries()[0], {})
+
+
+def test_schema_versions(store):
+    store.create()
+    jobs.sync(store, FakeClient([record("1")]), CONFIG)
+    assert store.state()["schema"] == 2 and store.read("corpus_config").count() == 1
+    store.migrate(1)
+    assert store.state()["schema"] == 1 and store.version("corpus_config") is None and store.read("abstract").count() == 1
+    store.migrate(2)
+    assert store.state()["schema"] == 2 and store.read("corpus_config").count() == 0 and store.read("abstract").count() == 1
+    store.migrate(0)
+    assert store.state() == {"schema": 0, "tables": {}} and store.read("abstract").count() == 0
+    with pytest.raises(ValueError):
+        store.migrate(3)
+
+
+def test_a_sync_reads_only_its_own_pages(store):
+    jobs.sync(store, FakeClient([record("1")]), CONFIG)
+    jobs.sync(store, FakeClient([record("2"), record("3"), record("4")]), CONFIG, full=True)
+    runs = {r.batch_id.rpartition("-")[0] for r in store.landed().collect()}
+    assert len(runs) == 2 and store.landed().count() == 3
+    for run in runs:
+        assert {r.batch_id.rpartition("-")[0] for r in store.landed(run).collect()} == {run} and all(f"run={run}/" in f for f in store.landed(run).inputFiles())
+
+
+def test_definitions(spark, monkeypatch):
     def at(day):
         return datetime(2020, 1, day, tzinfo=timezone.utc)
 
@@ -165,11 +221,15 @@ def test_definitions(spark):
     records = spark.createDataFrame([("0", datetime(2019, 1, 1, tzinfo=timezone.utc)), ("1", at(1)), ("2", at(4)), ("3", at(6)), ("4", at(9))], "pmid string, ingested_at timestamp")
     want = {"0": None, "1": "h1", "2": "h1", "3": "h2", "4": "h3"}
     assert {r.pmid: r.config_hash for r in corpus.definition_of(records, config).collect()} == want
-    few, corpus.MOST_DEFINITIONS = corpus.MOST_DEFINITIONS, 1
-    try:
-        assert {r.pmid: r.config_hash for r in corpus.definition_of(records, config).collect()} == want
-    finally:
-        corpus.MOST_DEFINITIONS = few
+    monkeypatch.setattr(corpus, "DAY_ROWS", 1)  # several lines for a day
+    assert {r.pmid: r.config_hash for r in corpus.definition_of(records, config).collect()} == want
+    # any number of definitions, as a plain search finds them
+    for n in (0, 1, 400, 3000):
+        times = sorted(datetime(2020, 1, 1, tzinfo=timezone.utc) + timedelta(minutes=37 * (k % 1777), seconds=k // 1777) for k in range(n))
+        marks = spark.createDataFrame([(t, f"h{k:05d}") for k, t in enumerate(times)], "created_at timestamp, config_hash string")
+        asked = [(str(k), datetime(2019, 12, 31, tzinfo=timezone.utc) + timedelta(minutes=53 * k)) for k in range(900)] + [("none", None)]
+        found = {r.pmid: r.config_hash for r in corpus.definition_of(spark.createDataFrame(asked, "pmid string, ingested_at timestamp"), marks).collect()}
+        assert found == {p: (f"h{k - 1:05d}" if t and (k := bisect_right(times, t)) else None) for p, t in asked}
     assert {(r.query, r.first_used.day) for r in corpus.definitions(config).collect()} == {("q", 1), ("r", 5)}
 
 
