@@ -1,3 +1,5 @@
+import random
+
 import brute
 
 from foliant.llm import decontam as D
@@ -10,8 +12,6 @@ DOCS = [
 ITEMS = [(10, " ".join(f"W{k}" for k in range(30))), (2, "Short item here"), (3, None), (4, ""), (5, "é1 é2"), (6, "one"), (7, "Short item here")]
 
 
-
-
 def test_equals_brute_force(spark):
     docs = spark.createDataFrame([(*r, "t") for r in DOCS], "doc_id long, text string, n_words string").repartition(3)
     items = spark.createDataFrame([(*r, 1) for r in ITEMS], "item_id long, text string, doc_id int")
@@ -32,3 +32,20 @@ def test_longest_match_and_empty_tables(spark):
     assert [tuple(m) for m in found[1]] == [("10", 2, 0, 30)]
     assert D.report(docs.limit(0), items).count() == 0
     assert D.report(docs, items.limit(0)).where("contaminated").count() == 0
+
+
+def test_a_benchmark_of_many_blocks(spark, monkeypatch):
+    rng = random.Random(8)
+    word = [f"w{k}" for k in range(300)]
+    items = [(k % 150, " ".join(rng.choice(word) for _ in range(rng.choice([1, 5, 12, 30])))) for k in range(200)] + [(900, "w1 w2 w3")] * 50
+    items += [(1000 + k, "w7 w8 w9 w7 w8") for k in range(40)]
+    docs = [(d, " ".join(w for _ in range(4) for w in ([rng.choice(word) for _ in range(20)] + rng.choice(items)[1].split()))) for d in range(60)]
+    want = brute.decontaminated(docs, items)
+    frame, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    size, most, index = sum(len(t) for _, t in set(items)), [], D.index
+    monkeypatch.setattr(D, "index", lambda part, window: most.append(sum(len(t) for _, t in part)) or index(part, window))
+    got = {r[0]: tuple(r)[1:] for r in D.report(frame, bench, block_bytes=-(-size // 20)).collect()}
+    assert got == want and len(most) == 20 and max(most) < size / 5  # what the driver holds at once
+    assert sorted(r.doc_id for r in D.decontaminate(frame, bench, block_bytes=-(-size // 20)).collect()) == sorted(d for d, w in want.items() if not w[-1])
+    one, many = ({r.doc_id: sorted(map(tuple, r.matches)) for r in D.locate(frame, bench, block_bytes=b).collect()} for b in (1 << 20, -(-size // 20)))
+    assert one == many
