@@ -183,10 +183,10 @@ def license_tally(paper: DataFrame) -> DataFrame:
     return paper.groupBy(F.col("fulltext.license").alias("license")).agg(F.count("*").alias("n"))
 
 
-def coverage(abstract: DataFrame, paper: DataFrame) -> DataFrame:
-    """Records, those with an article id, those held, and those that failed."""
+def coverage(abstract: DataFrame, paper: DataFrame, *by: str) -> DataFrame:
+    """Records, those with an article id, those held, and those that failed; of all, or by columns of `abstract`."""
     held = paper.select("pmid", F.lit(True).alias("_held"))
-    return abstract.join(held, "pmid", "left").agg(
+    return abstract.join(held, "pmid", "left").groupBy(*by).agg(
         F.count("*").alias("records"), F.count("pmc_id").alias("with_pmc_id"), F.count("_held").alias("held"), F.count_if("fetch_failed").alias("failed"),
         F.count("pubmed.abstract_text").alias("with_abstract"),
     )
