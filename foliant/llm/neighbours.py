@@ -51,9 +51,9 @@ def terms(data: np.ndarray, off: np.ndarray) -> np.ndarray:
     last = off[1:][np.diff(off) > 0] - 1
     after[last] = 31  # a text's end
     out = np.zeros((n, TERMS), np.float32)
-    out[:, :PAIRS] = _shares(doc, kind * KINDS + after, n, PAIRS)
+    _shares(doc, kind * KINDS + after, out[:, :PAIRS])
     spoken = Words(data, data_off, ALNUM, fold=True)
-    out[:, PAIRS + EXTRA :] = _shares(spoken.doc(), (mix(spoken.hashes()) % np.uint64(WORDS)).astype(np.int64), n, WORDS)
+    _shares(spoken.doc(), (mix(spoken.hashes()) & np.uint64(WORDS - 1)).astype(np.int64), out[:, PAIRS + EXTRA :])
     h, of = words.hashes(), words.doc()
     same = np.zeros(len(h), bool)
     same[1:] = (h[1:] == h[:-1]) & (of[1:] == of[:-1])
@@ -67,9 +67,12 @@ def terms(data: np.ndarray, off: np.ndarray) -> np.ndarray:
     return out
 
 
-def _shares(doc: np.ndarray, term: np.ndarray, n: int, terms: int) -> np.ndarray:
-    counts = np.bincount(doc * terms + term, minlength=n * terms).reshape(n, -1)
-    return np.sqrt(counts / np.maximum(counts.sum(1, keepdims=True), 1))
+def _shares(doc: np.ndarray, term: np.ndarray, out: np.ndarray) -> None:
+    """Square roots of the terms' shares of each document; what isn't there stays 0."""
+    n, most = out.shape
+    at, counts = np.unique(doc * most + term, return_counts=True)
+    of = at // most
+    out[of, at - of * most] = np.sqrt(counts / np.bincount(doc, minlength=n)[of])
 
 
 @dataclass

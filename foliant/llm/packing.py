@@ -57,7 +57,10 @@ def encoder(path: str):
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
     pre = spec.get("pre_tokenizer") or {}
-    if spec["model"].get("type") != "BPE" or pre.get("type") != "ByteLevel" or pre.get("add_prefix_space") or spec.get("normalizer"):
+    model = spec["model"]
+    plain_bpe = model.get("type") == "BPE" and not any(model.get(k) for k in ("ignore_merges", "dropout", "byte_fallback", "fuse_unk", "continuing_subword_prefix", "end_of_word_suffix"))
+    split = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space")
+    if not plain_bpe or not split or spec.get("normalizer") or not _in_rank_order(model):
         return slow
     import tiktoken
 
@@ -74,6 +77,12 @@ def encoder(path: str):
     return encode
 
 
+def _in_rank_order(model: dict) -> bool:
+    """Whether merges come in the order of the ids that they make, which is the order tiktoken merges in."""
+    ids = [model["vocab"].get("".join(m.split(" ") if isinstance(m, str) else m), -1) for m in model["merges"]]
+    return all(a < b for a, b in zip(ids, ids[1:], strict=False)) and -1 not in ids
+
+
 def cuts(n: int, capacity: int) -> list[tuple[int, int]]:
     """(start, length) of the pieces of a document of n tokens; only the first may be shorter."""
     first = n % capacity or capacity
@@ -144,7 +153,9 @@ def pack(
     A null or empty text is the one token `end_id`.  A document longer than a sequence is cut
     into full pieces, of which only the first may be shorter.  Rows with the same id and text
     each get their own place, ties of rank being broken by the piece's content and then at
-    will, and an empty table gives none.  Other columns of `docs` are not read.
+    will, and an empty table gives none.  A row without an id is packed too, with a null id; ids
+    must be numbers; texts of any length are tokenized whole; other columns are not read.  The
+    tokenizer's file must be there on every executor under the same path.
     """
     spark = docs.sparkSession
     cut = written(pieces(docs, id_col, text_col, capacity, tokenizer or default_tokenizer(), end_id), "pieces")

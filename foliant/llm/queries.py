@@ -64,6 +64,12 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def text_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What op8 counts before any rule, which SQL can express."""
+    counted = rules.statistics(table(spark, sf_dir, "documents"))
+    return counted.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", rules.base_failed().alias("base_failed"))
+
+
 def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.link(table(spark, sf_dir, "documents"))
 
@@ -84,10 +90,13 @@ QUERIES = {
     "op8_quality_rules": op8_quality_rules,
     "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
     "op10_toxicity": op10_toxicity,
+    "text_statistics": text_statistics,
 }
 
 ORACLES: dict[str, str] = {
     "op2_line_dedup": lines.ORACLE,
     "op5_benchmark_decontamination": oracles.DECONTAMINATION,
     "op6_substring_dedup": oracles.SUBSTRING,
+    "op9_ngram_jaccard_join": oracles.JACCARD,
+    "text_statistics": oracles.STATISTICS,
 }

@@ -196,10 +196,13 @@ def expression(rules: list[list[Condition]]) -> Column:
 
 
 def fit(counted: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality", sample: int = SAMPLE) -> list[list[Condition]]:
-    """The decision list for labels 0 and 1.  Null labels and ids have no part in it."""
-    labels = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).alias("_label")).dropna()
-    labels = labels.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = counted.join(labels, "doc_id").select("doc_id", "_label", *(ratio(r).alias(f"_{r}") for r in RATIOS)).toArrow()
+    """The decision list for labels 0 and 1, from `sample` rows at most, those with the smallest
+    hashes of their ids.  Null labels and ids have no part in it; without rows there are no rules."""
+    labels = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("_label")).dropna().distinct()
+    labels = labels.orderBy(F.xxhash64("doc_id"), "doc_id", "_label").limit(sample)
+    # an id may have several texts or labels: rows that differ count each, `sample` of all at most
+    rows = counted.join(F.broadcast(labels), "doc_id").select("doc_id", "_label", *(ratio(r).alias(f"_{r}") for r in RATIOS)).distinct()
+    rows = rows.orderBy(F.xxhash64("doc_id"), *rows.columns).limit(sample).toArrow()
     if not rows.num_rows:
         return []
     names = [*RATIOS]
@@ -210,13 +213,18 @@ def fit(counted: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col
     return learn(x, rows.column("_label").to_numpy() == 1, names, order)
 
 
+def base_failed() -> Column:
+    return (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
+
+
 def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, the COUNTS, base_failed and kept, a row for every row of `docs`.
 
     base_failed: fewer than 20 words, or over 30 % of them in repeated windows of eight.  kept:
     neither that nor rejected by the rules learned from `labels`.  Null texts count as empty.
+    Rows that are alike, and rows without an id, are judged each; texts of any length are counted
+    whole; ids must be numbers; an empty table gives none; other columns are not read.
     """
     counted = written(statistics(docs, id_col, text_col), "statistics")
     rules = fit(counted, labels)
-    failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
-    return counted.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & expression(rules))
+    return counted.withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & expression(rules))

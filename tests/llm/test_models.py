@@ -230,3 +230,29 @@ def test_toxicity_learns_from_long_texts(spark):
     assert min(len(r[1]) for r in rows) > 1 << 16
     assert len(toxicity.fit(docs, labels).key) > 0
     assert len(toxicity.fit(docs, labels, toxic_sample=0).key) == 0
+
+
+def test_neighbours_know_words(spark):
+    """Texts whose characters are of the same kinds, told apart by their words only."""
+    rng = random.Random(9)
+    good, bad = ["table", "river", "maple", "solar", "pilot"], ["label", "liver", "cable", "polar", "rival"]
+    rows = [(k, " ".join(rng.choice(good if k % 2 else bad) for _ in range(40)), k % 2) for k in range(120)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, y) for k, _, y in rows if k < 80], "doc_id long, quality int")
+    got = {r.doc_id: r.score for r in neighbours.score(docs, neighbours.fit(docs, labels)).collect()}
+    assert all((got[k] >= 0.5) == bool(y) for k, _, y in rows[80:])
+
+
+def test_neighbours_bound_what_they_learn(spark):
+    docs = spark.createDataFrame([(k % 7, f"text {k % 11} of many") for k in range(600)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k % 7, k % 2) for k in range(70)], "doc_id long, quality int")
+    spaces = [neighbours.fit(docs.repartition(n), labels, sample=20) for n in (1, 5)]
+    assert len(spaces[0].label) == 20 and (spaces[0].label == spaces[1].label).all()
+    assert np.allclose(np.abs(spaces[0].vectors @ spaces[0].vectors.T), np.abs(spaces[1].vectors @ spaces[1].vectors.T), atol=1e-3)
+
+
+def test_rules_where_ids_repeat(spark):
+    docs = spark.createDataFrame([(1, f"words {k % 3} " * 30) for k in range(500)], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, k % 2) for k in range(50)], "doc_id long, quality int")
+    assert isinstance(rules.fit(rules.statistics(docs), labels, sample=5), list)
+    assert rules.judge(docs, labels).count() == 500

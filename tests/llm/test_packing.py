@@ -71,3 +71,18 @@ def test_pack_edges(spark):
         assert fill.get(r[5], 0) == r[6]
         fill[r[5]] = r[6] + r[3]
     assert P.pack(docs.limit(0)).count() == 0
+
+
+def test_other_files_go_through_tokenizers(tmp_path):
+    import json
+
+    spec = json.load(open(P.default_tokenizer(), encoding="utf-8"))
+    assert P.encoder(P.default_tokenizer())("a b") == [64, 275]
+    spec["model"]["merges"] = spec["model"]["merges"][::-1]
+    path = tmp_path / "t.json"
+    path.write_text(json.dumps(spec))
+    from tokenizers import Tokenizer
+
+    want = Tokenizer.from_file(str(path))
+    for text in ("the other way round", "merging in reverse"):
+        assert P.encoder(str(path))(text) == want.encode(text, add_special_tokens=False).ids
