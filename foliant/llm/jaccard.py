@@ -14,7 +14,7 @@ Where many sets meet, the one whose shingles are shared most is the centre, and
 compared with the centre that it meets most often.  Most copies are settled so, in comparisons
 that grow with their number and not with its square.
 
-All sets are partitioned into groups of bounded size by their centre.  The token-group matrix
+All sets are partitioned into groups by their centre, bounded in sets and in shingles.  The token-group matrix
 says at which groups a set's shingles are met.  A set that meets a group with members it isn't
 settled with asks that group: the union of the group's shingles bounds what any member can have
 in common with it, and only if that is enough is the group opened and its members compared.
@@ -35,8 +35,9 @@ from foliant.llm.components import components
 
 SHINGLE, SHARE = 5, 75
 REGION = 30
-#: Sets in a group, and sets that ask a group in one task, about.
+#: Sets in a group, and sets that ask a group in one task, about; and shingles of either, about, in sets' stead where those are large.
 GROUP, VISITORS = 64, 512
+GROUP_TOKENS, VISITOR_TOKENS = 1 << 19, 1 << 22
 #: A shingle that so many of the documents in a sample of one in SAMPLE have is frequent, and its
 #: rows are dealt to SALTS places; at most FREQUENT shingles are.
 SAMPLE, OFTEN, FREQUENT, SALTS = 100, 20, 1 << 16, 64
@@ -64,7 +65,7 @@ def shingles(words: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
 def _profile(n: int, region: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, off = view(batch.column(1))
+            data, off = view(batch.column(2))
             for i, j in slices(off):
                 x, first = shingles(Words(data, off[i : j + 1], SPACE, fold=True), n)
                 size = np.diff(first)
@@ -73,7 +74,7 @@ def _profile(n: int, region: int):
                 rank = np.arange(len(x)) - np.repeat(first[:-1], size)
                 values = x[rank < np.repeat(take, size)]
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(take)]), pa.int32()), pa.array(values.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(size.astype(np.int64)), *(pa.array(s.view(np.int64)) for s in sums), lists], names=["doc_id", "n", "s1", "s2", "region"])
+                yield pa.RecordBatch.from_arrays([*(c.slice(i, j - i) for c in batch.columns[:2]), pa.array(size.astype(np.int64)), *(pa.array(s.view(np.int64)) for s in sums), lists], names=["doc_id", "text_key", "n", "s1", "s2", "region"])
 
     return run
 
@@ -81,7 +82,7 @@ def _profile(n: int, region: int):
 def _sets(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, off = view(batch.column(1))
+            data, off = view(batch.column(batch.schema.get_field_index("text")))
             for i, j in slices(off):
                 x, first = shingles(Words(data, off[i : j + 1], SPACE, fold=True), n)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(x.view(np.int64)))], names=["doc_id", "tokens"])
@@ -168,20 +169,27 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int
     component_id is the smallest id that is reached by links, a document's own included.  A set
     is of the distinct shingles of n words, in lower case; a text of fewer words is one shingle.
     A null or empty text has none and links with nothing; a row without an id has its shingles
-    counted and a null component; rows with the same id are one document's and an id names one
-    text; other columns are not read.  `region` must exceed 100 - `share`.
+    counted and a null component; rows with the same id are one document, which has the links of
+    all its texts; texts of any length are taken whole; ids must be numbers; an empty table gives
+    none; other columns are not read.  `region` must exceed 100 - `share`.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    profile = written(docs.mapInArrow(_profile(n, region), "doc_id long, n long, s1 long, s2 long, region array<long>"), "profile")
-    counts = written(profile.select("doc_id", F.col("n").alias("n_shingles")), "counts")
+    # texts that share an id are told apart by their hashes
+    docs = docs.select("doc_id", F.coalesce(F.xxhash64("text"), F.lit(0)).alias("text_key"), "text")
+    row = ["doc_id", "text_key"]
+    profile = written(docs.mapInArrow(_profile(n, region), "doc_id long, text_key long, n long, s1 long, s2 long, region array<long>"), "profile")
+    counts = written(profile.select(*row, F.col("n").alias("n_shingles")), "counts")
     key = ["n", "s1", "s2"]
     known = profile.where("n > 0 and doc_id is not null")
     classes = known.groupBy(*key).agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last")).where("rep < last").drop("last")
-    copies = written(known.select("doc_id", *key).join(written(classes, "classes"), key).where("doc_id > rep").select("doc_id", "rep").distinct(), "copies")
+    copies = written(known.select(*row, *key).join(written(classes, "classes"), key).where("doc_id > rep").select(*row, "rep").distinct(), "copies")
+    # an id that has a copy and something else links both
+    mixed = known.groupBy("doc_id").agg(F.min("s1").alias("a"), F.max("s1").alias("b")).where("a <> b").select("doc_id")
+    mixed = written(copies.join(mixed, "doc_id").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")), "mixed")
     sieve = Sieve(copies)
-    own = known.select("doc_id", "n", "region")
-    single = sieve.split(own, "doc_id", False).unionByName(sieve.split(own, "doc_id", True).join(copies, "doc_id", "left_anti"))
+    own = known.select(*row, "n", "region")
+    single = sieve.split(own, "doc_id", False).unionByName(sieve.split(own, "doc_id", True).join(copies, row, "left_anti"))
 
     # first filter: region shingles that another region has
     shared = _shared_tokens(single, known, "region", F.col("n"))
@@ -190,7 +198,7 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int
     tidied(spark)
 
     # second filter: shingles that another set has
-    near = Sieve(left).split(docs, "doc_id", True).join(left, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    near = Sieve(left).split(docs, "doc_id", True).join(left, "doc_id", "left_semi").dropDuplicates(row)
     sets = written(near.mapInArrow(_sets(n), "doc_id long, tokens array<long>"), "sets")
     shared = _shared_tokens(sets, sets, "tokens", F.size("tokens"))
     found = shared.groupBy("doc_id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("found")).where(100 * F.size("found") >= share * F.col("n"))
@@ -218,8 +226,8 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int
     place = place.join(of.select(F.col("doc_id").alias("hub"), F.col("component").alias("at")), "hub", "left")
     # sets that linked go by their component, others by that of the centre they met
     place = place.select("doc_id", "n", F.coalesce("component", "doc_id").alias("component"), F.coalesce("component", "at", "hub", "doc_id").alias("centre"), F.col("component").isNull().alias("single"))
-    sizes = place.groupBy("centre", "single").agg(F.count("*").alias("k"))
-    block = F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("k") / GROUP))
+    sizes = written(place.groupBy("centre", "single").agg(F.greatest(F.ceil(F.count("*") / GROUP), F.ceil(F.sum("n") / GROUP_TOKENS)).alias("blocks")), "sizes")
+    block = F.pmod(F.xxhash64("doc_id"), F.col("blocks"))
     place = written(place.join(sizes, ["centre", "single"]).select("doc_id", "n", "component", F.struct("centre", "single", block.alias("block")).alias("group")), "groups")
     span = [F.min("component").alias("x"), F.max("component").alias("y"), F.min("n").alias("least"), F.max("n").alias("most")]
     cells = meets.select("token", "doc_id").join(place, "doc_id").groupBy("token", "group").agg(*span)
@@ -230,32 +238,35 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int
     near_size = (100 * F.col("a.most") >= share * F.col("b.least")) & (100 * F.col("b.most") >= share * F.col("a.least"))
     meeting = one.join(two, (F.col("a.token") == F.col("b.token")) & unsettled & near_size).select(F.col("a.group").alias("group"), F.col("b.group").alias("other")).distinct()
     # of two groups that meet the smaller one asks
-    spans = place.groupBy("group").agg(*span, F.count("*").alias("k"))
+    # what is joined with many rows of one key is written first, so that Spark can split that key
+    spans = written(place.groupBy("group").agg(*span, F.count("*").alias("k")), "spans")
     meeting = meeting.join(spans.select("group", F.col("k").alias("ka")), "group").join(spans.withColumnRenamed("group", "other"), "other")
     turned = F.col("ka") > F.col("k")
-    meeting = meeting.select(F.when(turned, F.col("other")).otherwise(F.col("group")).alias("group"), F.when(turned, F.col("group")).otherwise(F.col("other")).alias("other"))
+    meeting = written(meeting.select(F.when(turned, F.col("other")).otherwise(F.col("group")).alias("group"), F.when(turned, F.col("group")).otherwise(F.col("other")).alias("other")), "meeting")
     unsettled = (F.col("x") != F.col("component")) | (F.col("y") != F.col("component"))
     near_size = (100 * F.col("n") >= share * F.col("least")) & (100 * F.col("most") >= share * F.col("n"))
     spans = spans.select(F.col("group").alias("other"), "x", "y", "least", "most")
-    asks = written(place.join(meeting, "group").join(spans, "other").where(unsettled & near_size).select("doc_id", "group", "other"), "asks")
+    asks = written(place.join(meeting, "group").join(spans, "other").where(unsettled & near_size).select("doc_id", "n", "group", "other"), "asks")
     dropped(matrix)
     dropped(first)
     tidied(spark)
 
     # open the groups, with so many visitors at a time
-    visitors = asks.where("group <> other").select("doc_id", F.col("other").alias("group"))
+    visitors = asks.where("group <> other").select("doc_id", "n", F.col("other").alias("group"))
     inner = asks.where("group = other").select("group").distinct().withColumn("within", F.lit(True))
-    rooms = visitors.groupBy("group").agg(F.ceil(F.count("*") / VISITORS).cast("int").alias("rooms"))
-    asked = rooms.join(inner, "group", "full").select("group", F.coalesce("rooms", F.lit(1)).alias("rooms"), F.coalesce("within", F.lit(False)).alias("within"))
+    rooms = visitors.groupBy("group").agg(F.greatest(F.ceil(F.count("*") / VISITORS), F.ceil(F.sum("n") / VISITOR_TOKENS)).cast("int").alias("rooms"))
+    asked = written(rooms.join(inner, "group", "full").select("group", F.coalesce("rooms", F.lit(1)).alias("rooms"), F.coalesce("within", F.lit(False)).alias("within")), "asked")
     hosts = place.select("doc_id", "group").join(asked, "group").select("doc_id", "group", F.explode(F.sequence(F.lit(0), F.col("rooms") - 1)).alias("room"), F.lit(True).alias("home"), "within")
     hosts = hosts.withColumn("within", F.col("within") & (F.col("room") == 0))
-    guests = visitors.join(rooms, "group").select("doc_id", "group", F.pmod(F.xxhash64("doc_id"), F.col("rooms")).cast("int").alias("room"), F.lit(False).alias("home"), F.lit(False).alias("within"))
+    guests = visitors.join(asked.drop("within"), "group").select("doc_id", "group", F.pmod(F.xxhash64("doc_id"), F.col("rooms")).cast("int").alias("room"), F.lit(False).alias("home"), F.lit(False).alias("within"))
     rows = hosts.unionByName(guests).join(place.select("doc_id", "component"), "doc_id").join(sets.withColumn("n", F.size("tokens")), "doc_id")
     more = written(rows.groupBy("group", "room").applyInArrow(_opened(share), "a long, b long"), "opened")
 
-    every = stars.unionByName(more).unionByName(copies.select(F.col("doc_id").alias("a"), F.col("rep").alias("b")))
-    reached = components(every)
-    for frame in (left, sets, held, stars, place, asks, more, settled):
+    reached = components(stars.unionByName(more).unionByName(mixed))
+    for frame in (left, sets, held, stars, place, sizes, spans, meeting, asks, asked, more, settled, mixed):
         dropped(frame)
     tidied(spark)
-    return counts.join(reached, F.col("doc_id") == F.col("id"), "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    # copies follow their representative
+    followed = copies.join(reached.select(F.col("id").alias("rep"), F.col("component").alias("_of")), "rep", "left").select(*row, F.coalesce("_of", "rep").alias("_of"))
+    out = counts.join(reached, F.col("doc_id") == F.col("id"), "left").join(written(followed, "followed"), row, "left")
+    return out.select(counts["doc_id"], "n_shingles", F.coalesce("component", "_of", counts["doc_id"]).alias("component_id"))

@@ -82,3 +82,29 @@ def test_least_shared_bounds_every_linked_pair(spark):
                 worst.append((n, min(region[0] - (n - o), region[1] - (m - o))))
     frame = spark.createDataFrame(worst, "n long, shared long").groupBy("n").agg(F.min("shared").alias("shared"))
     assert frame.where(jaccard.least_shared(F.col("n"), 75, 30) > F.col("shared")).count() == 0
+
+
+def test_many_similar_sets_that_do_not_link(spark):
+    rng = random.Random(4)
+    common = [f"c{k}" for k in range(70)]
+    docs = [(d, " ".join([*common, *(f"x{rng.randrange(300)}" for _ in range(30))])) for d in range(1200)]
+    docs += [(5000, docs[7][1]), (5001, docs[9][1] + " more"), (5002, docs[9][1].upper())]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.link(spark.createDataFrame(docs, "doc_id long, text string").repartition(4)).collect()}
+    assert got == brute.near_components(docs)
+
+
+def test_long_texts_are_in_groups_of_their_own(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "GROUP_TOKENS", 1 << 12)
+    monkeypatch.setattr(jaccard, "VISITOR_TOKENS", 1 << 12)
+    rng = random.Random(6)
+    base = [f"w{rng.randrange(50_000)}" for _ in range(120_000)]
+    docs = [(k, " ".join(varied(rng, base[: rng.choice([3_000, 20_000, 120_000])], base, 200))) for k in range(9)]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.link(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == brute.near_components(docs)
+
+
+def test_an_id_with_two_texts_has_the_links_of_both(spark):
+    a, b, c = (" ".join(f"{x}{k}" for k in range(40)) for x in "abc")
+    rows = [(1, a), (5, a), (5, b), (7, b), (9, c), (9, "short"), (8, "short")]
+    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.link(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [(1, 36, 1), (5, 36, 1), (5, 36, 1), (7, 36, 1), (8, 1, 8), (9, 1, 8), (9, 36, 8)]
