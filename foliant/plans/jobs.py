@@ -6,6 +6,7 @@ over all that was landed, whatever the number of pages.
 
 from __future__ import annotations
 
+import json
 import logging
 import uuid
 from collections.abc import Iterable
@@ -21,7 +22,7 @@ from foliant.operators import corpus
 from foliant.plans.config import IngestConfig, build_query, incremental_term
 from foliant.schemas import CORPUS_CONFIG, FULLTEXT, LANDING, OWNERS
 from foliant.sources import snapshot
-from foliant.sources.remote import Client, batches, offsets
+from foliant.sources.remote import Client, PageSource, batches, offsets
 from foliant.sources.tables import Store
 
 log = logging.getLogger(__name__)
@@ -125,6 +126,21 @@ def sync(
     return n
 
 
+def sync_by_source(store: Store, config: IngestConfig, term: str | None = None, client: str | None = None) -> int:
+    """A whole pull with the pages read and landed by Spark, in one job; how many records were read.
+
+    client: module:function that makes a client of the config, instead of the public service's.  As
+    the pages are one job's, a failure lands none of them.  The service's key isn't sent along.
+    """
+    record_definition(store, config)
+    run = f"{datetime.now(timezone.utc):%Y%m%dT%H%M%S%f}-{uuid.uuid4().hex[:8]}"
+    store.spark.dataSource.register(PageSource)
+    options = {"config": json.dumps(config.recorded()), "term": term or build_query(config), "batch_size": str(config.batch_size), "batch_id": run}
+    options |= {k: v for k, v in (("client", client), ("max_records", config.max_records and str(config.max_records))) if v}
+    store.land(store.spark.read.format(PageSource.name()).options(**options).load())
+    return merge_records(store, store.landed(run))
+
+
 def fetch_fulltext(
     store: Store, client: Client, config: IngestConfig, pmids: list[str] | None = None, limit: int | None = None, batch_size: int | None = None,
     retry: bool = False, recheck: bool = False, relink: bool = False,

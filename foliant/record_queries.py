@@ -261,6 +261,14 @@ def _store(spark, d) -> tuple[Store, mirror.Mirror, IngestConfig]:
 STORED = f"""SELECT {PMID}, CASE doc_id % 3 WHEN 0 THEN make_date(2020, 1 + doc_id % 12, 1 + doc_id % 28) WHEN 1 THEN DATE '2019-02-01' END AS entry_date, CAST({YEAR} AS INT) AS pub_year, CASE WHEN doc_id % 2 = 0 THEN 'PMC' || doc_id END AS pmc_id, doc_id % 10 = 0 AS is_retracted"""
 
 
+@query(f"SELECT {PMID}, source AS title FROM documents")
+def q93_sync_by_source(spark, d):
+    """Pages read by the data source, landed in one job and merged."""
+    store, config = Store(spark, scratch(spark)), _listed(spark, d)
+    jobs.sync_by_source(store, config, "x", "foliant.sources.mirror:listed")
+    return store.read("abstract").select("pmid", "pubmed.title")
+
+
 @query(f"{STORED}, false AS fetch_failed FROM documents")
 def q69_sync(spark, d):
     store, _, _ = _store(spark, d)

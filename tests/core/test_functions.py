@@ -177,8 +177,10 @@ def test_supplied(spark):
     assert supplied.clean_text("in 2013.5 units, years.4–7") == "in 2013.5 units, years."
 
 
-def test_payload(tmp_path):
+def test_payload(tmp_path, spark):
     path = tmp_path / "p.json"
+    path.write_text('{"title": "T",\n "abstract": null, "sections": [], "license": "x"}')
+    assert supplied.load_payload(str(path)) == supplied.load_payload(f"file://{path}", spark) == {"title": "T", "abstract": None, "sections": [], "license": "x"}
     path.write_text('{"title": 1}')
     with pytest.raises(supplied.SeedError, match="abstract, license, sections"):
         supplied.load_payload(str(path))

@@ -272,6 +272,14 @@ def test_page_source(spark):
     assert [r.pubmed.pmid for r in read_records(read.option("ids", "2,3").load()).collect()] == ["2", "3"]
 
 
+def test_sync_by_source(store):
+    store.spark.sparkContext.addPyFile(f"{Path(__file__).resolve().parent}/fakes.py")
+    assert jobs.sync_by_source(store, CONFIG, client="fakes:client_of") == 7
+    assert pmids(store.read("abstract")) == [str(k) for k in range(1, 8)] and store.landed().count() == 4 and store.read("corpus_config").count() == 1
+    capped = IngestConfig("q", "a@b.c", "t", rate_limit=0, batch_size=2, max_records=3)
+    assert jobs.sync_by_source(store, capped, client="fakes:client_of") == 3
+
+
 def test_client_paces_and_retries():
     now, slept = [0.0], []
 
