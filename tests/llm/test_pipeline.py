@@ -79,3 +79,14 @@ def test_nulls_and_empty_tables(spark, tmp_path):
         spark.createDataFrame([], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
         n = P.run(spark, folder).count()
         assert n == (5 if name == "some" else 0)
+
+
+def test_columns_of_any_name_stay(spark):
+    names = ["_lines", "_deleted", "component_id", "_id", "_text", "_row", "score", "label", "uid", "key"]
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").where("doc_id < 60")
+    wide = docs.select("*", *(F.lit(k).alias(n) for k, n in enumerate(names)))
+    for _, stage in P.STAGES[:4]:
+        got, plain = stage(spark, wide, DATA), stage(spark, docs, DATA)
+        assert got.columns == wide.columns
+        assert sorted(got.select(docs.columns).collect()) == sorted(plain.collect())
+        assert got.where(" and ".join(f"`{n}` = {k}" for k, n in enumerate(names))).count() == plain.count()
