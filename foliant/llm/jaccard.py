@@ -36,7 +36,7 @@ from foliant.llm.components import components
 SHINGLE, SHARE = 5, 75
 REGION = 30
 #: Sets in a group, and sets that ask a group in one task, about; and shingles of either, about, in sets' stead where those are large.
-GROUP, VISITORS = 64, 512
+GROUP, VISITORS = 64, 256
 GROUP_TOKENS, VISITOR_TOKENS = 1 << 19, 1 << 22
 #: A shingle that so many of the documents in a sample of one in SAMPLE have is frequent, and its
 #: rows are dealt to SALTS places; at most FREQUENT shingles are.
