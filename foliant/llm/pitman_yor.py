@@ -9,10 +9,11 @@ of no context, and that the uniform distribution.  A word that no training text
 tables have, less what the letters give the words that are known, so that known words and the
 unknown one share a mass of 1.
 
-All pairs of words are counted.  Those that occur `least_pair` times or more (2) are dishes of
-their own in the restaurant of their first word; a rarer pair has one table for each time, which
-is a customer of the restaurant of words, and its mass falls to back-off.  So what goes on after
-counting is the pairs that repeat, and what the others add up to follows from the counts of words.
+All pairs of words are counted, and each is a dish of its own in the restaurant of its first word.
+A pair that occurs once has one table whatever the seating, so there is nothing to sample: what
+such pairs add to the counts of tables and customers follows from the counts of words.  To score a
+text they are needed one by one.  A training text has them itself, as any pair of it that doesn't
+repeat is one of them; for other texts they are looked up like the pairs that repeat.
 
 A sweep seats each word (or pair of words) anew, given the tables of all others: with c customers and weight
 w = (strength + discount * tables) * P(word by letters), it draws t tables with probability
@@ -49,11 +50,15 @@ from foliant.llm._text import SPACE, Words, mix, mix2, slices, view
 #: Sweeps over the words after each seating of the pairs; and those after the last one, whose mean counts.
 BURN_IN, SWEEPS = 1, 2
 #: Words and pairs sent to the executors: the most frequent ones, at most so many.
-FREQUENT, FREQUENT_PAIRS = 1 << 18, 1 << 19
+FREQUENT, FREQUENT_PAIRS = 1 << 18, 1 << 21
 #: Distinct words, and tokens, that a task counts before it passes them on.
 HELD_WORDS, HELD_TOKENS = 1 << 18, 1 << 20
-#: Times that pairs are seated anew, and how often a pair occurs that is a dish of its own.
-PAIR_SWEEPS, LEAST_PAIR = 1, 2
+#: Letters that a task holds before it counts them, and rows that go to the JVM at once.
+HELD_LETTERS, SENT = 1 << 19, 1 << 16
+#: Times that pairs are seated anew.
+PAIR_SWEEPS = 1
+#: What an occurrence in texts to be scored adds to a pair's count while pairs are counted.
+ASKED = 1 << 40
 LETTER_DISCOUNT, LETTER_STRENGTH, WORD_STRENGTH = 0.5, 1.0, 1.0
 PAIR_STRENGTH = 1.0
 EXACT = 64
@@ -230,7 +235,8 @@ class Model:
     """Seatings after each sweep, (tables in all, letters), of which the last `kept` count, with the corpus's counts.
 
     `customers` and `end_customers` are those of the restaurant of words; `pairs` is a table
-    (a, b, c, t) of contexts, words, customers and tables, of which the driver has the plan only.
+    (a, b, c, t) of contexts, words, customers and tables, of which the driver has the plan only;
+    of pairs that occur once it may have those alone that texts to be scored ask for.
     `end_room` is the weight of back-off after the end of a text.
     """
 
@@ -300,6 +306,11 @@ def _gather(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.Array:
     return pa.StringArray.from_buffers(len(n), pa.py_buffer(off), pa.py_buffer(whole))
 
 
+def _sent(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The batch in parts, of which the JVM holds one at a time."""
+    return (batch.slice(k, SENT) for k in range(0, len(batch), SENT))
+
+
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: list[tuple[np.ndarray, np.ndarray, pa.Array]] = []
 
@@ -323,10 +334,11 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 held = [merged()]
                 size = len(held[0][0])
                 if size > HELD_WORDS:
-                    yield passed(*held[0])
+                    out = passed(*held[0])
                     held, size = [], 0
+                    yield from _sent(out)
     if held:
-        yield passed(*merged())
+        yield from _sent(passed(*merged()))
 
 
 def _rows(batch: pa.RecordBatch) -> tuple[np.ndarray, ...]:
@@ -359,7 +371,7 @@ def _swept(vocabulary: DataFrame, model: Model, sweep: int) -> tuple[int, np.nda
             keys.append((a * A + b) * A + symbols)
             counts.append(np.repeat(t, np.diff(np.append(start, len(symbols)))).astype(float))
             held += len(symbols)
-            if held > 1 << 21:
+            if held > HELD_LETTERS:
                 keys, counts = merged()
                 held = 0
         if keys:
@@ -388,8 +400,32 @@ def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return mix2(a.view(np.uint64), b.view(np.uint64)).view(np.int64)
 
 
-def _paired(ranks):
-    """(a, b, c) of the pairs of each task's texts; ranks: a broadcast."""
+def _key(a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
+    """Keys of pairs: those of frequent words (and ends) can be told apart again, others are hashes."""
+    near = (a >= 0) & (a <= most) & (b >= 0) & (b <= most)
+    out = np.where(near, a, 0) * (most + 1) + np.where(near, b, 0)
+    far = np.flatnonzero(~near)
+    out[far] = _pair(a[far], b[far])
+    return out
+
+
+def _xxhash64(x: np.ndarray) -> np.ndarray:
+    """Spark's xxhash64 of longs."""
+    p1, p2, p3, p4, p5 = map(np.uint64, (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+
+    def turned(x: np.ndarray, n: int) -> np.ndarray:
+        return x << np.uint64(n) | x >> np.uint64(64 - n)
+
+    x = turned(x.view(np.uint64) * p2, 31) * p1 ^ (p5 + np.uint64(50))
+    x = turned(x, 27) * p1 + p4
+    for n, p in ((33, p2), (29, p3)):
+        x ^= x >> np.uint64(n)
+        x *= p
+    return (x ^ x >> np.uint64(32)).view(np.int64)
+
+
+def _paired(ranks, asked: bool = False):
+    """(a, b, c) of the pairs of each task's texts; ranks: a broadcast.  Texts that only ask for pairs count ASKED."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, rows = [], 0
@@ -397,7 +433,7 @@ def _paired(ranks):
         def merged() -> pa.RecordBatch:
             a, b = (np.concatenate(x) for x in zip(*held, strict=True))
             _, at, c = np.unique(_pair(a, b), return_index=True, return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(a[at]), pa.array(b[at]), pa.array(c)], names=["a", "b", "c"])
+            return pa.RecordBatch.from_arrays([pa.array(a[at]), pa.array(b[at]), pa.array(np.full(len(at), ASKED) if asked else c)], names=["a", "b", "c"])
 
         for batch in batches:
             data, off = view(batch.column(0))
@@ -407,10 +443,11 @@ def _paired(ranks):
                 held.append((a, b))
                 rows += len(a)
                 if rows > HELD_TOKENS:
-                    yield merged()
+                    out = merged()
                     held, rows = [], 0
+                    yield from _sent(out)
         if held:
-            yield merged()
+            yield from _sent(merged())
 
     return run
 
@@ -425,13 +462,13 @@ def _renamed(words: DataFrame, ranks) -> DataFrame:
     return words.mapInArrow(run, words.schema)
 
 
-def _places(pairs: DataFrame, discount: float) -> DataFrame:
-    """(h, seated, held): of each word the customers in all contexts that share a table with an
-    earlier one, and what its own restaurant keeps from back-off."""
-    zero, kept = F.lit(0).cast("long"), F.col("c") - discount * F.col("t")
-    as_word = F.struct(F.col("b").alias("h"), (F.col("c") - F.col("t")).alias("seated"), F.lit(0.0).alias("held"))
-    as_context = F.struct(F.col("a").alias("h"), zero.alias("seated"), kept.alias("held"))
-    return pairs.select(F.inline(F.array(as_word, as_context))).groupBy("h").agg(F.sum("seated").alias("seated"), F.sum("held").alias("held"))
+def _places(pairs: DataFrame) -> DataFrame:
+    """(h, seated, saved): of each word the customers that share a table with an earlier one, in all
+    contexts and in its own restaurant.  Pairs that occur once have none."""
+    zero, shared = F.lit(0).cast("long"), F.col("c") - F.col("t")
+    as_word = F.struct(F.col("b").alias("h"), shared.alias("seated"), zero.alias("saved"))
+    as_context = F.struct(F.col("a").alias("h"), zero.alias("seated"), shared.alias("saved"))
+    return pairs.where("c > t").select(F.inline(F.array(as_word, as_context))).groupBy("h").agg(F.sum("seated").alias("seated"), F.sum("saved").alias("saved"))
 
 
 def _discount(n1: int | None, n2: int | None) -> float:
@@ -548,13 +585,17 @@ def _seated(pairs: DataFrame, prices: DataFrame, model: Model, sweep: int) -> Da
     return _weighed(pairs, prices, model, use, "a long, b long, c long, t long", "seated")
 
 
-def fit(train: DataFrame, text_col: str = "text", sweeps: int = SWEEPS, pair_sweeps: int = PAIR_SWEEPS, least_pair: int = LEAST_PAIR) -> tuple[Model, DataFrame]:
+def fit(train: DataFrame, text_col: str = "text", sweeps: int = SWEEPS, pair_sweeps: int = PAIR_SWEEPS, others: DataFrame | None = None) -> tuple[Model, DataFrame]:
     """The model of the texts, and the vocabulary as a table (h, word, n, c, room): a word's
     tokens, its customers in the restaurant of words, and the weight of back-off after it.
 
     A null text counts as empty: its only token is the end, which is the word 0 in pairs.  Texts
     of any length are read whole; rows that are alike count each; other columns are not read; of
     an empty table the model is the unknown word alone.
+
+    With `others`, a table that nothing is learned from, pairs that occur once are listed only if a
+    text of it has them.  The model is the same, but `score` then takes rows of `others` and, marked
+    as `trained`, rows of `train`; without it, any rows.
     """
     ends = train.count()
     texts = train.select(F.col(text_col).cast("string").alias("text"))
@@ -566,22 +607,27 @@ def fit(train: DataFrame, text_col: str = "text", sweeps: int = SWEEPS, pair_swe
     hashed, words = words, written(_renamed(words, ranks), "words")
     dropped(hashed)
     tidied(train.sparkSession)
-    counted = texts.mapInArrow(_paired(ranks), "a long, b long, c long").groupBy("a", "b").agg(F.sum("c").alias("c"))
-    pairs = written(counted.where(F.col("c") >= least_pair).withColumn("t", F.lit(1).cast("long")), "pairs")
+    pair = "a long, b long, c long"
+    counted, once = texts.mapInArrow(_paired(ranks), pair), F.lit(True)
+    if others is not None:
+        asking = others.select(F.col(text_col).cast("string").alias("text"))
+        counted, once = counted.unionByName(asking.mapInArrow(_paired(ranks, asked=True), pair)), F.col("c") >= ASKED
+    counted, times = counted.groupBy("a", "b").agg(F.sum("c").alias("c")), F.col("c") % ASKED
+    pairs = written(counted.where((times > 1) | (times == 1) & once).select("a", "b", times.alias("c"), F.lit(1).cast("long").alias("t")), "pairs")
     ranks.destroy()
     tidied(train.sparkSession)
     total = words.agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
     model = Model((total.n or 0) + ends, total.v + (ends > 0), ends, 0.5, [], ranks=frequent)
-    # the tokens of pairs that aren't dishes are the pairs that occur once
-    some = pairs.agg(F.sum("c").alias("n"), F.count_if(F.col("c") == least_pair).alias("n2")).first()
+    # the tokens of pairs that don't repeat are the pairs that occur once
+    some = pairs.where("c > 1").agg(F.sum("c").alias("n"), F.count_if(F.col("c") == 2).alias("n2")).first()
     model.pair_discount = _discount(model.tokens - (some.n or 0), some.n2)
     for sweep in range(pair_sweeps + 1):
-        places = written(_places(pairs, model.pair_discount), "places")
+        places = written(_places(pairs), "places")
         end = places.where("h = 0").first()
         model.end_customers = ends - (end.seated if end else 0)
-        model.end_room = PAIR_STRENGTH + ends - (end.held if end else 0.0)
-        seated, held = F.coalesce("seated", F.lit(0)), F.coalesce("held", F.lit(0.0))
-        vocabulary = written(words.join(places, "h", "left").select("h", "word", "n", (F.col("n") - seated).alias("c"), (PAIR_STRENGTH + F.col("n") - held).alias("room")), "vocabulary")
+        model.end_room = PAIR_STRENGTH + model.pair_discount * (ends - (end.saved if end else 0))
+        seated, saved = F.coalesce("seated", F.lit(0)), F.coalesce("saved", F.lit(0))
+        vocabulary = written(words.join(places, "h", "left").select("h", "word", "n", (F.col("n") - seated).alias("c"), (PAIR_STRENGTH + model.pair_discount * (F.col("n") - saved)).alias("room")), "vocabulary")
         x = vocabulary.agg(F.sum("c").alias("c"), F.count_if(F.col("c") == 1).alias("n1"), F.count_if(F.col("c") == 2).alias("n2")).first()
         model.customers, model.discount = (x.c or 0) + model.end_customers, _discount(x.n1, x.n2)
         dropped(places)
@@ -592,6 +638,7 @@ def fit(train: DataFrame, text_col: str = "text", sweeps: int = SWEEPS, pair_swe
             old, pairs = pairs, _seated(pairs, prices, model, sweep)
             for done in (prices, vocabulary, old):
                 dropped(done)
+            tidied(train.sparkSession)
     dropped(words)
     model.pairs = pairs
     return model, vocabulary
@@ -599,43 +646,49 @@ def fit(train: DataFrame, text_col: str = "text", sweeps: int = SWEEPS, pair_swe
 
 def _added(prices: DataFrame, model: Model) -> DataFrame:
     """(key, c, more): log10 of a seen pair's probability over what back-off alone gives it."""
-    d = model.pair_discount
+    d, most = model.pair_discount, model.ranks.most
 
     def use(a: np.ndarray, b: np.ndarray, c: np.ndarray, t: np.ndarray, w: np.ndarray) -> pa.RecordBatch:
         more = np.log10(1 + np.maximum(c - d * t, 0) / 10**w)
-        return pa.RecordBatch.from_arrays([pa.array(v) for v in (_pair(a, b), c, more)], names=["key", "c", "more"])
+        return pa.RecordBatch.from_arrays([pa.array(v) for v in (_key(a, b, most), c, more)], names=["key", "c", "more"])
 
     return _weighed(model.pairs, prices, model, use, "key long, c long, more double", "added")
 
 
-def score(docs: DataFrame, model: Model, vocabulary: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score(docs: DataFrame, model: Model, vocabulary: DataFrame, id_col: str = "doc_id", text_col: str = "text", trained: Column | None = None) -> DataFrame:
     """doc_id, n_tokens, n_known, base_score and score (log10 probabilities) of every row of `docs`.
 
     Null and empty texts have one token, the end.  Rows that are alike, and rows without an id, are
     scored each; texts of any length whole; ids must be numbers; other columns are not read.
+    Rows for which `trained` is true must be rows that the model learned from: their pairs that
+    aren't among those that repeat occur once, and needn't be listed in the model.
     """
     spark = docs.sparkSession
     context = spark.sparkContext
-    shared = context.broadcast(model)
     prices = _prices(vocabulary, model)
     known = prices.agg(F.sum("base")).first()[0] or 0.0
-    # as a word and as a context, where nothing but back-off is left
-    prices = prices.withColumn("q", F.col("p") + F.col("room") - F.log10(F.col("n") + PAIR_STRENGTH))
     most = model.ranks.most
     often = F.col("h").between(1, most)
-    top = prices.where(often).select("h", "n", "q").toArrow()
+    top = prices.where(often).select("h", "n", "p", "room").toArrow()
     more_of = _added(prices, model)
+    tidied(spark)
     least_pair = _least(more_of, "c", FREQUENT_PAIRS)
     top_pairs = more_of.where(F.col("c") >= least_pair).select("key", "more").toArrow().sort_by("key")
+    tidied(spark)
     frequent_pairs = context.broadcast((top_pairs.column("key").to_numpy(), top_pairs.column("more").to_numpy()))
-    # pairs that can't be dishes stay where they are
-    dishes = Sieve(more_of, "key")
+    # pairs that can't be among those listed stay where they are
+    dishes = Sieve(more_of.select(F.xxhash64("key").alias("key")), "key")
+    own = 1 - model.pair_discount  # what a pair that occurs once has besides back-off
     total = model.tokens + model.types + 1
     unseen = -np.log10(total)
-    top_base, top_q = np.zeros(most + 1), np.zeros(most + 1)
-    top_base[top.column("h").to_numpy()] = np.log10(top.column("n").to_numpy() + 1.0) + unseen
-    top_q[top.column("h").to_numpy()] = top.column("q").to_numpy()
-    frequent = context.broadcast((model.ranks, top_base, top_q))
+    h, n, p, room = (top.column(k).to_numpy() for k in range(4))
+    top_base, top_p, top_room, top_q = (np.zeros(most + 1) for _ in range(4))
+    top_base[h], top_p[h], top_room[h] = np.log10(n + 1.0) + unseen, p, room
+    # as a word and as a context, where nothing but back-off is left
+    top_q[h] = p + room - np.log10(n + PAIR_STRENGTH)
+    if model.ends:
+        top_p[0], top_room[0] = _end_price(model), float(np.log10(model.end_room))
+    frequent = context.broadcast((model.ranks, top_base, top_q, top_p, top_room))
     end_base = float(np.log10(model.ends + 1.0) + unseen)
     end_of = np.array([EDGE]), np.zeros(1, np.int64)
     if model.ends:
@@ -643,26 +696,28 @@ def score(docs: DataFrame, model: Model, vocabulary: DataFrame, id_col: str = "d
     unknown = float(np.log10(model.unknown(known)))
     end_score = _end_price(model) + float(np.log10(model.end_room / (PAIR_STRENGTH + model.ends))) if model.ends else unknown
 
-    names = ["uid", "key", "times", "totals"]
+    names = ["uid", "key", "times", "at", "l", "r", "totals"]
     totals = pa.struct([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("score", pa.float64())])
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
-        ranks, known_base, known_q = frequent.value
+        ranks, known_base, known_q, known_p, known_room = frequent.value
         pair_key, pair_more = frequent_pairs.value
         uid = TaskContext.get().partitionId() << 36
 
-        def listed(x: np.ndarray, doc: np.ndarray, word: bool, n: int) -> pa.RecordBatch:
-            """The values of each document, each once, and how often it has them (less than 0 for pairs)."""
+        def made(doc: np.ndarray, key: np.ndarray, times: np.ndarray, at: np.ndarray, l: np.ndarray, r: np.ndarray) -> pa.RecordBatch:
+            sides = (pa.array(x, mask=np.isnan(x)) for x in (l, r))
+            return pa.RecordBatch.from_arrays([pa.array(uid + doc), pa.array(key), pa.array(times), pa.array(at), *sides, pa.nulls(len(doc), totals)], names=names)
+
+        def listed(x: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            """Where the values of each document are, each once, and how often it has them."""
             order = np.lexsort((x, doc))
             new = np.ones(len(order), bool)
             new[1:] = (x[order][1:] != x[order][:-1]) | (doc[order][1:] != doc[order][:-1])
-            first = order[new]
-            times = np.diff(np.append(np.flatnonzero(new), len(order)))
-            return pa.RecordBatch.from_arrays([pa.array(uid + doc[first]), pa.array(x[first]), pa.array(times if word else -times), pa.nulls(len(first), totals)], names=names)
+            return order[new], np.diff(np.append(np.flatnonzero(new), len(order)))
 
         for batch in batches:
             data, off = view(batch.column(1))
+            learned = batch.column(2).to_numpy(zero_copy_only=False)
             for i, j in slices(off):
                 words = Words(data, off[i : j + 1], SPACE, fold=True)
                 h, doc, n = ranks.keys(words.hashes()), words.doc(), j - i
@@ -671,40 +726,90 @@ def score(docs: DataFrame, model: Model, vocabulary: DataFrame, id_col: str = "d
                 base += np.bincount(doc[seen], known_base[h[seen]], minlength=n)
                 total += np.bincount(doc[seen], known_q[h[seen]], minlength=n)
                 a, b, pair_doc = _contexts(words, h)
-                key = _pair(a, b)
-                may = np.flatnonzero(dishes.has(key))
-                key, pair_doc = key[may], pair_doc[may]
-                x, of = np.unique(key, return_inverse=True)
+                key = _key(a, b, ranks.most)
+                near_a, near_b = ((x >= 0) & (x <= ranks.most) for x in (a, b))
+                # the parts of the weight of a new table in a with b that are known here
+                of_a, of_b = (np.where(near, known[np.where(near, x, 0)], 0.0) for near, known, x in ((near_a, known_room, a), (near_b, known_p, b)))
+                has = dishes.has(_xxhash64(key))
+                may = np.flatnonzero(has)
+                x, of = np.unique(key[may], return_inverse=True)
                 no = np.minimum(np.searchsorted(pair_key, x), len(pair_key) - 1)
                 found = pair_key[no] == x if len(pair_key) else np.zeros(len(x), bool)
                 held = found[of]
-                total += np.bincount(pair_doc[held], pair_more[no[of[held]]], minlength=n)
-                columns = [batch.column(0).slice(i, n), *map(pa.array, (words.n + 1, np.bincount(doc[seen], minlength=n) + (model.ends > 0), base, total))]
-                own = uid + np.arange(n)
-                yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(mix(own.astype(np.uint64)).view(np.int64)), pa.array(np.zeros(n, np.int64)), pa.StructArray.from_arrays(columns, fields=[*totals])], names=names)
-                yield listed(h[~seen], doc[~seen], True, n)
-                yield listed(key[~held], pair_doc[~held], False, n)
+                total += np.bincount(pair_doc[may[held]], pair_more[no[of[held]]], minlength=n)
+                # pairs that surely occur once
+                single = learned[i:j][pair_doc] & ~has
+                here = np.flatnonzero(single & near_a & near_b)
+                total += np.bincount(pair_doc[here], np.log10(1 + own / 10 ** (of_a[here] + of_b[here])), minlength=n)
+                columns = [batch.column(0).slice(i, n), *map(pa.array, (words.n + 1, np.bincount(doc[seen], minlength=n) + (model_ends > 0), base, total))]
+                ids = uid + np.arange(n)
+                none, zero = pa.nulls(n, pa.float64()), pa.array(np.zeros(n, np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(mix(ids.astype(np.uint64)).view(np.int64)), zero, zero, none, none, pa.StructArray.from_arrays(columns, fields=[*totals])], names=names)
+                # rare words, with the known sides of the pairs before and after them that surely occur once
+                far, before = np.flatnonzero(~seen), np.flatnonzero(~seen) + doc[~seen]
+                l = np.where(single[before] & near_a[before], of_a[before], np.nan)
+                r = np.where(single[before + 1] & near_b[before + 1], of_b[before + 1], np.nan)
+                alone = np.isnan(l) & np.isnan(r)
+                at, times = listed(h[far[alone]], doc[far[alone]])
+                at = np.concatenate([np.flatnonzero(alone)[at], np.flatnonzero(~alone)])
+                times = np.concatenate([times, np.ones(len(at) - len(times), np.int64)])
+                yield made(doc[far[at]], h[far[at]], times, 0 * at, l[at], r[at])
+                # pairs to be looked up; if one of a training text isn't found, it occurs once
+                at, times = listed(key[may[~held]], pair_doc[may[~held]])
+                at = may[~held][at]
+                open_ = learned[i:j][pair_doc[at]] & (times == 1)
+                split = open_ & ~(near_a[at] & near_b[at])
+                yield made(pair_doc[at], key[at], -times, np.where(split, at + 1 << 2, np.where(open_, 3, 0)), np.where(split, of_a[at] + of_b[at], np.nan), np.full(len(at), np.nan))
+                # their rare sides, and those of pairs of two rare words that surely occur once
+                at = np.concatenate([at[split], np.flatnonzero(single & ~near_a & ~near_b)])
+                for side, near, x in ((1, near_a, a), (2, near_b, b)):
+                    k = at[~near[at]]
+                    yield made(pair_doc[k], x[k], 0 * k, (k + 1 << 2) + side, np.full(len(k), np.nan), np.full(len(k), np.nan))
                 uid += n
 
-    # a row for each document, with what is known of it so far, and one for each rare word or pair of it.
+    # a row for each document, with what is known of it so far, and one for each rare word or pair of it
+    # (times less than 0 for pairs).  A pair that may occur once and has rare words has rows of its own for
+    # what each of them adds to the weight; `at` has the pair's number, and 1 for its context or 2 for its word.
+    # A pair that may occur once and has none is marked by 3: its words are in its key.
     # A row's number comes from the task that also makes its words, so a task run again stays in step;
     # documents' own rows have a key of their number, spread over all tasks, and 0 times.
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    rows = docs.mapInArrow(read, "uid long, key long, times long, totals struct<doc_id:bigint,n_tokens:bigint,n_known:bigint,base:double,score:double>")
-    zero = F.lit(0.0)
-    known_words = prices.where(~often).select(F.col("h").alias("key"), F.lit(1).alias("k"), (F.log10(F.col("n") + 1.0) + float(unseen)).alias("x"), F.col("q").alias("y"))
-    known_pairs = more_of.where(F.col("c") < least_pair).select("key", F.lit(0).alias("k"), zero.alias("x"), F.col("more").alias("y"))
+    model_ends = model.ends
+    trained = F.lit(False) if trained is None else F.coalesce(trained, F.lit(False))
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), trained.alias("trained"))
+    rows = docs.mapInArrow(read, "uid long, key long, times long, at long, l double, r double, totals struct<doc_id:bigint,n_tokens:bigint,n_known:bigint,base:double,score:double>")
+    zero, none = F.lit(0.0), F.lit(None).cast("double")
+    known_words = prices.where(~often).select(F.col("h").alias("key"), F.lit(1).alias("k"), (F.log10(F.col("n") + 1.0) + float(unseen)).alias("x"), "p", "room")
+    known_pairs = more_of.where(F.col("c") < least_pair).select("key", F.lit(0).alias("k"), zero.alias("x"), F.col("more").alias("p"), none.alias("room"))
     # each key once on the right, so its part of a task is as small as the task's part of the keys
     found = rows.join(known_words.unionByName(known_pairs).hint("shuffle_hash"), "key", "left")
-    times, word = F.abs("times"), F.col("times") > 0
-
-    def summed(part: str, value: str, default: float) -> Column:
-        each = times * F.coalesce(value, F.when(word, F.lit(default)).otherwise(F.lit(type(default)(0))))
-        return F.sum(F.coalesce(f"totals.{part}", F.lit(type(default)(0))) + each)
-
-    out = found.groupBy("uid").agg(
-        F.max("totals.doc_id").alias("doc_id"), F.max("totals.n_tokens").alias("n_tokens"), summed("n_known", "k", 0).alias("n_known"),
-        summed("base", "x", float(unseen)).alias("base_score"), summed("score", "y", unknown).alias("score"),
+    times, word, pair, whole = F.abs("times"), F.col("times") > 0, F.col("times") < 0, F.col("at") < 4
+    single, key = (F.col("at") == 3) & F.col("p").isNull(), F.col("key")
+    near = prices.where(often).select("h", "p", "room").union(spark.range(1).select("id", F.lit(float(top_p[0])), F.lit(float(top_room[0]))))
+    found = found.withColumns({"ka": F.when(single, F.floor(key / F.lit(most + 1))), "kb": F.when(single, key % (most + 1))})
+    for side, value, name in (("ka", "room", "of_a"), ("kb", "p", "of_b")):
+        found = found.join(F.broadcast(near.select(F.col("h").alias(side), F.col(value).alias(name))), side, "left")
+
+    def once(w: Column) -> Column:
+        return F.log10(1 + own / F.pow(F.lit(10.0), w))
+
+    def or_none(value: Column) -> Column:
+        return F.coalesce(value, zero)
+
+    back_off = F.col("p") + F.col("room") - (F.col("x") - float(unseen))
+    of_word = times * F.coalesce(back_off, F.lit(unknown)) + or_none(once(F.col("l") + F.col("p"))) + or_none(once(F.col("room") + F.col("r")))
+    of_pair = F.when(whole, times * F.coalesce("p", once(F.col("of_a") + F.col("of_b")), zero)).otherwise(zero)
+    side = F.col("at").bitwiseAND(3)
+    weight = F.when(side == 1, F.col("room")).when(side == 2, F.col("p")).when(pair, F.col("l"))
+    parts = found.groupBy("uid", F.shiftright("at", 2).alias("at")).agg(
+        F.max("totals.doc_id").alias("doc_id"), F.max("totals.n_tokens").alias("n_tokens"),
+        F.sum(F.coalesce("totals.n_known", F.lit(0)) + F.when(word, times * F.coalesce("k", F.lit(0))).otherwise(0)).alias("n_known"),
+        F.sum(or_none(F.col("totals.base")) + F.when(word, times * F.coalesce("x", F.lit(float(unseen)))).otherwise(zero)).alias("base"),
+        F.sum(or_none(F.col("totals.score")) + F.when(word, of_word).when(pair, of_pair).otherwise(zero)).alias("score"),
+        F.sum(F.when(~whole, weight)).alias("w"), F.sum(F.when(~whole & pair, F.col("p"))).alias("more"),
+    )
+    value = F.when(whole, F.col("score")).otherwise(F.coalesce("more", once(F.col("w"))))
+    out = parts.groupBy("uid").agg(
+        F.max("doc_id").alias("doc_id"), F.max("n_tokens").alias("n_tokens"), F.sum("n_known").alias("n_known"), F.sum("base").alias("base_score"), F.sum(value).alias("score"),
     )
     return out.select("doc_id", "n_tokens", F.col("n_known").cast("long").alias("n_known"), "base_score", "score")
 

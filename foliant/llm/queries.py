@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliant.llm import decontam, jaccard, lines, neighbours, oracles, packing, pages, pitman_yor, rules, substring, toxicity
-from foliant.llm._shared import table
+from foliant.llm._shared import dropped, table
 
 
 def _remainder(n: int, column: str = "doc_id") -> Column:
@@ -53,8 +53,10 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = F.coalesce(_remainder(7) == 2, F.lit(False))
-    model, vocabulary = pitman_yor.fit(docs.where(~held_out))
-    scored = pitman_yor.score(docs, model, vocabulary)
+    model, vocabulary = pitman_yor.fit(docs.where(~held_out), others=docs.where(held_out))
+    scored = pitman_yor.score(docs, model, vocabulary, trained=~held_out)
+    for done in (vocabulary, model.pairs):
+        dropped(done)
     return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
 
 

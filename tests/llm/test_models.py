@@ -131,6 +131,56 @@ def test_language_model_knows_the_order_of_words(spark, monkeypatch):
         assert math.isclose(got[k], sum(math.log10(p(a, b)) for a, b in zip(w, w[1:], strict=False)), rel_tol=1e-9)
 
 
+@pytest.mark.parametrize("full", [False, True])
+def test_language_model_has_every_pair(spark, monkeypatch, full):
+    monkeypatch.setattr(pitman_yor, "FREQUENT", 9)
+    monkeypatch.setattr(pitman_yor, "FREQUENT_PAIRS", 3)
+    if full:  # no pair is surely left out of those listed, as with more pairs than the sieve has bits
+
+        def filled(*args, sieve=pitman_yor.Sieve):
+            made = sieve(*args)
+            made.map = spark.sparkContext.broadcast(np.full_like(made.map.value, 255))
+            return made
+
+        monkeypatch.setattr(pitman_yor, "Sieve", filled)
+    rows = [(k, t.lower()) for k, t, *_ in made(40, 5)] + [(40, "only here twice only here"), (41, None), (42, "the zebra the"), (43, "rare1 rare2 the rare1 rare2 rare3"), (43, "rare4 the rare5")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    held = F.col("doc_id") % 4 == 2
+    train, others = docs.where(~held), docs.where(held)
+    model, vocabulary = pitman_yor.fit(train)
+    texts = [(t or "").split() for k, t in rows if k % 4 != 2]
+    counts = {}
+    for w in texts:
+        for pair in zip(["", *w], [*w, ""], strict=True):
+            counts[pair] = counts.get(pair, 0) + 1
+    word = {r.h: r for r in vocabulary.collect()}
+    name = {0: ""} | {h: r.word for h, r in word.items()}
+    seated = {(name[r.a], name[r.b]): (r.c, r.t) for r in model.pairs.collect()}
+    assert {k: c for k, (c, _) in seated.items()} == counts and sum(c == 1 for c in counts.values()) > 500
+    # the probability of each text, pair by pair
+    n, room, customers = ({"": x} | {r.word: r[y] for r in word.values()} for x, y in ((model.ends, "n"), (model.end_room, "room"), (model.end_customers, "c")))
+    alone, known = {}, 0.0
+    for w, h in {v: k for k, v in name.items()}.items():
+        s, at = pitman_yor.spelled(np.frombuffer(w.encode(), np.uint8), np.zeros(1, np.int64), np.array([len(w.encode())]))
+        alone[w] = model.probability(np.array([h]), np.array([customers[w]]), s, at, pitman_yor.stirling(model.discount))[0]
+        known += model.base(s, at)[0]
+    unknown = model.unknown(known)
+
+    def p(a, b):
+        c, t = seated.get((a, b), (0, 0))
+        return (c - model.pair_discount * t + room.get(a, 1) * alone.get(b, unknown)) / (1 + n.get(a, 0))
+
+    for a in ("", "the", "rare1"):
+        assert math.isclose(sum(p(a, b) for b in n) + p(a, "zebra"), 1, rel_tol=1e-9)
+    want = sorted((k, sum(math.log10(p(a, b)) for a, b in zip(["", *(t or "").split()], [*(t or "").split(), ""], strict=True))) for k, t in rows)
+    few, words = pitman_yor.fit(train, others=others)
+    asked = {pair for k, t in rows if k % 4 == 2 for pair in zip(["", *t.split()], [*t.split(), ""], strict=True)}
+    assert few.pairs.count() == sum(c > 1 or k in asked for k, c in counts.items()) < len(counts)
+    for scored in (pitman_yor.score(docs, model, vocabulary), pitman_yor.score(docs, model, vocabulary, trained=~held), pitman_yor.score(docs, few, words, trained=~held)):
+        got = sorted((r.doc_id, r.score) for r in scored.collect())
+        assert all(k == i and math.isclose(x, y, rel_tol=1e-9) for (k, x), (i, y) in zip(got, want, strict=True))
+
+
 def test_language_model_of_nothing(spark, frames):
     docs, _ = frames
     model, vocabulary = pitman_yor.fit(docs.limit(0))
