@@ -30,7 +30,8 @@ what the pairs seen in training add to that.
 Counts cover all training documents.  The most frequent words, a fixed number, are numbered by
 their frequency, and these numbers stand for them in pairs; other words go by their hash.  Frequent
 words and pairs go to the executors with their probabilities; all others are joined, so that no
-join has a hot key.
+join has a hot key.  Pairs to be counted, and what texts ask of words and pairs, go through shuffles
+in packets by hash, and are counted and looked up there.
 """
 
 from __future__ import annotations
@@ -44,6 +45,8 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from foliant.llm import _packets
+from foliant.llm._packets import buckets, dealt, packed, place, unpacked, whole
 from foliant.llm._shared import Sieve, dropped, tidied, written
 from foliant.llm._text import SPACE, Words, mix, mix2, slices, view
 
@@ -53,12 +56,19 @@ BURN_IN, SWEEPS = 1, 2
 FREQUENT, FREQUENT_PAIRS = 1 << 18, 1 << 21
 #: Distinct words, and tokens, that a task counts before it passes them on.
 HELD_WORDS, HELD_TOKENS = 1 << 18, 1 << 20
+#: What a task asks for, or has of answers, before it passes that on.
+HELD_ASKED = 1 << 19
 #: Letters that a task holds before it counts them, and rows that go to the JVM at once.
 HELD_LETTERS, SENT = 1 << 19, 1 << 16
 #: Times that pairs are seated anew.
 PAIR_SWEEPS = 1
 #: What an occurrence in texts to be scored adds to a pair's count while pairs are counted.
 ASKED = 1 << 40
+#: Kinds of packets: pairs of two frequent words and others, while pairs are counted; and while texts are scored
+#: what is known of pairs and words, what is looked up (pairs, words, pairs that may occur once and have rare
+#: words, those words), answers (of pairs, of words, for pairs with rare words), and texts.
+NEAR, FAR = 0, 1
+KNOWN_PAIR, KNOWN_WORD, ASK_PAIR, ASK_WORD, ASK_SPLIT, ASK_SIDE, OF_PAIR, OF_WORD, OF_SPLIT, TEXT = range(10)
 LETTER_DISCOUNT, LETTER_STRENGTH, WORD_STRENGTH = 0.5, 1.0, 1.0
 PAIR_STRENGTH = 1.0
 EXACT = 64
@@ -311,6 +321,19 @@ def _sent(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     return (batch.slice(k, SENT) for k in range(0, len(batch), SENT))
 
 
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of more rows, so that packets get long."""
+    held, rows = [], 0
+    for batch in batches:
+        held.append(batch)
+        rows += len(batch)
+        if rows > HELD_ASKED:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held, rows = [], 0
+    if rows:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: list[tuple[np.ndarray, np.ndarray, pa.Array]] = []
 
@@ -400,9 +423,14 @@ def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return mix2(a.view(np.uint64), b.view(np.uint64)).view(np.int64)
 
 
+def _near(a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
+    """Whether both words are frequent ones (or the end)."""
+    return (a >= 0) & (a <= most) & (b >= 0) & (b <= most)
+
+
 def _key(a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
     """Keys of pairs: those of frequent words (and ends) can be told apart again, others are hashes."""
-    near = (a >= 0) & (a <= most) & (b >= 0) & (b <= most)
+    near = _near(a, b, most)
     out = np.where(near, a, 0) * (most + 1) + np.where(near, b, 0)
     far = np.flatnonzero(~near)
     out[far] = _pair(a[far], b[far])
@@ -424,16 +452,28 @@ def _xxhash64(x: np.ndarray) -> np.ndarray:
     return (x ^ x >> np.uint64(32)).view(np.int64)
 
 
-def _paired(ranks, asked: bool = False):
-    """(a, b, c) of the pairs of each task's texts; ranks: a broadcast.  Texts that only ask for pairs count ASKED."""
+def _summed(c: np.ndarray, *keys: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The rows without those whose keys are alike, with the sum of their counts in front; by the last key."""
+    key = keys[-1]
+    order = np.argsort(key)
+    first = np.flatnonzero(np.diff(key[order], prepend=~key[order[:1]]))
+    return np.add.reduceat(c[order], first) if len(first) else c, *(x[order[first]] for x in keys)
+
+
+def _paired(ranks, most: int, buckets: int, asked: bool = False):
+    """Packets of the pairs of each task's texts and their counts; ranks: a broadcast.  Texts that only ask for pairs count ASKED."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, rows = [], 0
 
-        def merged() -> pa.RecordBatch:
+        def merged() -> Iterator[pa.RecordBatch]:
             a, b = (np.concatenate(x) for x in zip(*held, strict=True))
-            _, at, c = np.unique(_pair(a, b), return_index=True, return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(a[at]), pa.array(b[at]), pa.array(np.full(len(at), ASKED) if asked else c)], names=["a", "b", "c"])
+            near = _near(a, b, most)
+            c, key = _summed(np.ones(int(near.sum()), np.int64), a[near] * (most + 1) + b[near])
+            yield from packed(NEAR, place(key, buckets), key, np.full(len(c), ASKED) if asked else c)
+            a, b = a[~near], b[~near]
+            c, a, b, key = _summed(np.ones(len(a), np.int64), a, b, _pair(a, b))
+            yield from packed(FAR, place(key, buckets), a, b, np.full(len(c), ASKED) if asked else c)
 
         for batch in batches:
             data, off = view(batch.column(0))
@@ -443,11 +483,29 @@ def _paired(ranks, asked: bool = False):
                 held.append((a, b))
                 rows += len(a)
                 if rows > HELD_TOKENS:
-                    out = merged()
+                    yield from merged()
                     held, rows = [], 0
-                    yield from _sent(out)
         if held:
-            yield from _sent(merged())
+            yield from merged()
+
+    return run
+
+
+def _merged(most: int, listed):
+    """(a, b, c, t) of the pairs in packets, of which listed(c) says which to keep, at one table each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in whole(batches):
+            _, key, c = unpacked(part, NEAR, "qq")
+            c, key = _summed(c, key)
+            kept = listed(c)
+            c, key = c[kept], key[kept]
+            _, a, b, c2 = unpacked(part, FAR, "qqq")
+            c2, a, b, _ = _summed(c2, a, b, _pair(a, b))
+            kept = listed(c2)
+            c = np.concatenate([c, c2[kept]]) % ASKED
+            columns = np.concatenate([key // (most + 1), a[kept]]), np.concatenate([key % (most + 1), b[kept]]), c, np.ones(len(c), np.int64)
+            yield from _sent(pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["a", "b", "c", "t"]))
 
     return run
 
@@ -607,13 +665,13 @@ def fit(train: DataFrame, text_col: str = "text", sweeps: int = SWEEPS, pair_swe
     hashed, words = words, written(_renamed(words, ranks), "words")
     dropped(hashed)
     tidied(train.sparkSession)
-    pair = "a long, b long, c long"
-    counted, once = texts.mapInArrow(_paired(ranks), pair), F.lit(True)
+    most, n = frequent.most, buckets(train.sparkSession)
+    counted = texts.mapInArrow(_paired(ranks, most, n), _packets.SCHEMA)
     if others is not None:
         asking = others.select(F.col(text_col).cast("string").alias("text"))
-        counted, once = counted.unionByName(asking.mapInArrow(_paired(ranks, asked=True), pair)), F.col("c") >= ASKED
-    counted, times = counted.groupBy("a", "b").agg(F.sum("c").alias("c")), F.col("c") % ASKED
-    pairs = written(counted.where((times > 1) | (times == 1) & once).select("a", "b", times.alias("c"), F.lit(1).cast("long").alias("t")), "pairs")
+        counted = counted.unionByName(asking.mapInArrow(_paired(ranks, most, n, asked=True), _packets.SCHEMA))
+    every = others is None
+    pairs = written(dealt(counted).mapInArrow(_merged(most, lambda c: (c % ASKED > 1) | (c % ASKED == 1) & (every | (c >= ASKED))), "a long, b long, c long, t long"), "pairs")
     ranks.destroy()
     tidied(train.sparkSession)
     total = words.agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
@@ -696,28 +754,41 @@ def score(docs: DataFrame, model: Model, vocabulary: DataFrame, id_col: str = "d
     unknown = float(np.log10(model.unknown(known)))
     end_score = _end_price(model) + float(np.log10(model.end_room / (PAIR_STRENGTH + model.ends))) if model.ends else unknown
 
-    names = ["uid", "key", "times", "at", "l", "r", "totals"]
-    totals = pa.struct([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("score", pa.float64())])
+    n_buckets = buckets(spark)
+    sides = context.broadcast((top_p, top_room))
+    model_ends = model.ends
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranks, known_base, known_q, known_p, known_room = frequent.value
         pair_key, pair_more = frequent_pairs.value
         uid = TaskContext.get().partitionId() << 36
+        held: dict[int, list] = {}
 
-        def made(doc: np.ndarray, key: np.ndarray, times: np.ndarray, at: np.ndarray, l: np.ndarray, r: np.ndarray) -> pa.RecordBatch:
-            sides = (pa.array(x, mask=np.isnan(x)) for x in (l, r))
-            return pa.RecordBatch.from_arrays([pa.array(uid + doc), pa.array(key), pa.array(times), pa.array(at), *sides, pa.nulls(len(doc), totals)], names=names)
+        def made(kind: int, *columns: np.ndarray) -> None:
+            held.setdefault(kind, []).append(columns)
 
-        def listed(x: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            """Where the values of each document are, each once, and how often it has them."""
-            order = np.lexsort((x, doc))
-            new = np.ones(len(order), bool)
-            new[1:] = (x[order][1:] != x[order][:-1]) | (doc[order][1:] != doc[order][:-1])
-            return order[new], np.diff(np.append(np.flatnonzero(new), len(order)))
+        def passed() -> Iterator[pa.RecordBatch]:
+            for kind, columns in held.items():
+                columns = [np.concatenate(x) for x in zip(*columns, strict=True)]
+                # texts lie by their own number, all else by the word or pair looked up
+                yield from packed(kind, place(columns[0 if kind == TEXT else 1], n_buckets), *columns)
+            held.clear()
 
+        def listed(x: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            """Where the values of each document are, each once, and how often it has them; by document."""
+            h = mix2(x.view(np.uint64), doc.astype(np.uint64))
+            order = np.argsort(h)
+            first = np.flatnonzero(np.diff(h[order], prepend=~h[order[:1]]))
+            at = order[first]
+            by = np.argsort(at)
+            return at[by], np.diff(np.append(first, len(order)))[by]
+
+        rows = 0
         for batch in batches:
             data, off = view(batch.column(1))
             learned = batch.column(2).to_numpy(zero_copy_only=False)
+            doc_ids = batch.column(0)
+            has_id, doc_ids = ~doc_ids.is_null().to_numpy(zero_copy_only=False), doc_ids.fill_null(0).to_numpy()
             for i, j in slices(off):
                 words = Words(data, off[i : j + 1], SPACE, fold=True)
                 h, doc, n = ranks.keys(words.hashes()), words.doc(), j - i
@@ -735,16 +806,14 @@ def score(docs: DataFrame, model: Model, vocabulary: DataFrame, id_col: str = "d
                 x, of = np.unique(key[may], return_inverse=True)
                 no = np.minimum(np.searchsorted(pair_key, x), len(pair_key) - 1)
                 found = pair_key[no] == x if len(pair_key) else np.zeros(len(x), bool)
-                held = found[of]
-                total += np.bincount(pair_doc[may[held]], pair_more[no[of[held]]], minlength=n)
+                hit = found[of]
+                total += np.bincount(pair_doc[may[hit]], pair_more[no[of[hit]]], minlength=n)
                 # pairs that surely occur once
                 single = learned[i:j][pair_doc] & ~has
                 here = np.flatnonzero(single & near_a & near_b)
                 total += np.bincount(pair_doc[here], np.log10(1 + own / 10 ** (of_a[here] + of_b[here])), minlength=n)
-                columns = [batch.column(0).slice(i, n), *map(pa.array, (words.n + 1, np.bincount(doc[seen], minlength=n) + (model_ends > 0), base, total))]
-                ids = uid + np.arange(n)
-                none, zero = pa.nulls(n, pa.float64()), pa.array(np.zeros(n, np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(mix(ids.astype(np.uint64)).view(np.int64)), zero, zero, none, none, pa.StructArray.from_arrays(columns, fields=[*totals])], names=names)
+                n_known = np.bincount(doc[seen], minlength=n) + (model_ends > 0)
+                made(TEXT, uid + np.arange(n), np.where(has_id[i:j], doc_ids[i:j], 0), has_id[i:j].astype(np.int64), words.n + 1, n_known, base, total)
                 # rare words, with the known sides of the pairs before and after them that surely occur once
                 far, before = np.flatnonzero(~seen), np.flatnonzero(~seen) + doc[~seen]
                 l = np.where(single[before] & near_a[before], of_a[before], np.nan)
@@ -753,65 +822,149 @@ def score(docs: DataFrame, model: Model, vocabulary: DataFrame, id_col: str = "d
                 at, times = listed(h[far[alone]], doc[far[alone]])
                 at = np.concatenate([np.flatnonzero(alone)[at], np.flatnonzero(~alone)])
                 times = np.concatenate([times, np.ones(len(at) - len(times), np.int64)])
-                yield made(doc[far[at]], h[far[at]], times, 0 * at, l[at], r[at])
+                made(ASK_WORD, uid + doc[far[at]], h[far[at]], times, l[at], r[at])
                 # pairs to be looked up; if one of a training text isn't found, it occurs once
-                at, times = listed(key[may[~held]], pair_doc[may[~held]])
-                at = may[~held][at]
+                at, times = listed(key[may[~hit]], pair_doc[may[~hit]])
+                at = may[~hit][at]
                 open_ = learned[i:j][pair_doc[at]] & (times == 1)
                 split = open_ & ~(near_a[at] & near_b[at])
-                yield made(pair_doc[at], key[at], -times, np.where(split, at + 1 << 2, np.where(open_, 3, 0)), np.where(split, of_a[at] + of_b[at], np.nan), np.full(len(at), np.nan))
+                alike = at[~split]
+                made(ASK_PAIR, uid + pair_doc[alike], key[alike], 2 * times[~split] + open_[~split])
+                at = at[split]
+                made(ASK_SPLIT, uid + pair_doc[at], key[at], at, of_a[at] + of_b[at])
                 # their rare sides, and those of pairs of two rare words that surely occur once
-                at = np.concatenate([at[split], np.flatnonzero(single & ~near_a & ~near_b)])
-                for side, near, x in ((1, near_a, a), (2, near_b, b)):
+                at = np.concatenate([at, np.flatnonzero(single & ~near_a & ~near_b)])
+                for side, near, x in ((0, near_a, a), (1, near_b, b)):
                     k = at[~near[at]]
-                    yield made(pair_doc[k], x[k], 0 * k, (k + 1 << 2) + side, np.full(len(k), np.nan), np.full(len(k), np.nan))
+                    made(ASK_SIDE, uid + pair_doc[k], x[k], 2 * k + side)
                 uid += n
-
-    # a row for each document, with what is known of it so far, and one for each rare word or pair of it
-    # (times less than 0 for pairs).  A pair that may occur once and has rare words has rows of its own for
-    # what each of them adds to the weight; `at` has the pair's number, and 1 for its context or 2 for its word.
-    # A pair that may occur once and has none is marked by 3: its words are in its key.
-    # A row's number comes from the task that also makes its words, so a task run again stays in step;
-    # documents' own rows have a key of their number, spread over all tasks, and 0 times.
-    model_ends = model.ends
+                rows += len(far) + len(may) - int(hit.sum())
+                if rows > HELD_ASKED:
+                    yield from passed()
+                    rows = 0
+        yield from passed()
+
+    def known_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _joined(batches):
+            key, more = (batch.column(k).to_numpy() for k in range(2))
+            yield from packed(KNOWN_PAIR, place(key, n_buckets), key, more)
+
+    def known_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _joined(batches):
+            h, n, p, room = (batch.column(k).to_numpy() for k in range(4))
+            yield from packed(KNOWN_WORD, place(h, n_buckets), h, n, p, room)
+
+    def once(w: np.ndarray) -> np.ndarray:
+        return np.log10(1 + own / 10**w)
+
+    def answered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """What is looked up, in its bucket, is answered in the bucket of its text.  What is known comes first in a bucket."""
+        known_p, known_room = sides.value
+        columns = {KNOWN_PAIR: "qd", KNOWN_WORD: "qqdd"}
+        known: dict[int, list[np.ndarray]] = {}
+        of_pairs, of_words, of_splits, rows = [], [], [], 0
+
+        def passed() -> Iterator[pa.RecordBatch]:
+            for kind, held in ((OF_PAIR, of_pairs), (OF_WORD, of_words)):
+                if held:
+                    uid, *sums = (np.concatenate(x) for x in zip(*held, strict=True))
+                    uid, of = np.unique(uid, return_inverse=True)
+                    yield from packed(kind, place(uid, n_buckets), uid, *(np.bincount(of, x) for x in sums))
+            if of_splits:
+                uid, *rest = (np.concatenate(x) for x in zip(*of_splits, strict=True))
+                yield from packed(OF_SPLIT, place(uid, n_buckets), uid, *rest)
+            for held in (of_pairs, of_words, of_splits):
+                held.clear()
+
+        def find(kind: int, x: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+            """Whether each is known, and what is known of those."""
+            _, key, *rest = known[kind]
+            at = np.minimum(np.searchsorted(key, x), len(key) - 1)
+            if not len(key):
+                return np.zeros(len(x), bool), [r[:0] for r in rest]
+            found = key[at] == x
+            return found, [r[at[found]] for r in rest]
+
+        for part in _packets.parts(batches):
+            first = part.column("bucket")[0].as_py()
+            for kind, types in columns.items():
+                new = unpacked(part, kind, types)
+                if kind in known:  # the rest of a bucket
+                    held = known[kind][0] == first
+                    new = [np.concatenate([x[held], y]) for x, y in zip(known[kind], new, strict=True)]
+                order = np.argsort(new[1])
+                known[kind] = [x[order] for x in new]
+            _, uid, key, times = unpacked(part, ASK_PAIR, "qqq")
+            found, (more,) = find(KNOWN_PAIR, key)
+            score = np.zeros(len(key))
+            score[found] = more * (times[found] >> 1)
+            single = np.flatnonzero(~found & (times & 1 == 1))
+            score[single] = once(known_room[key[single] // (most + 1)] + known_p[key[single] % (most + 1)])
+            some = score != 0
+            of_pairs.append((uid[some], score[some]))
+            _, uid, key, times, l, r = unpacked(part, ASK_WORD, "qqqdd")
+            found, (n, p, room) = find(KNOWN_WORD, key)
+            base, score = times * unseen, times * unknown
+            log_n = np.log10(n + 1.0)
+            base[found] = times[found] * (log_n + unseen)
+            score[found] = times[found] * (p + room - log_n) + np.nan_to_num(once(l[found] + p)) + np.nan_to_num(once(room + r[found]))
+            of_words.append((uid, times * found, base, score))
+            _, uid, key, at, w = unpacked(part, ASK_SPLIT, "qqqd")
+            found, (more,) = find(KNOWN_PAIR, key)
+            value = np.full(len(key), np.nan)
+            value[found] = more
+            of_splits.append((uid, at, w, value))
+            _, uid, key, at = unpacked(part, ASK_SIDE, "qqq")
+            found, (_, p, room) = find(KNOWN_WORD, key)
+            w = np.zeros(len(key))
+            w[found] = np.where(at[found] & 1, p, room)
+            of_splits.append((uid, at >> 1, w, np.full(len(key), np.nan)))
+            rows += sum(len(x[-1][0]) for x in (of_pairs, of_words)) + len(of_splits[-1][0]) + len(of_splits[-2][0])
+            # texts go on as they are
+            texts = part.filter(pa.array(part.column("kind").to_numpy() == TEXT))
+            if len(texts):
+                yield texts
+            if rows > HELD_ASKED:
+                yield from passed()
+                rows = 0
+        yield from passed()
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in whole(batches):
+            _, text, doc_id, has_id, n_tokens, n_known, base, score = unpacked(part, TEXT, "qqqqqdd")
+            order = np.argsort(text)
+            text = text[order]
+
+            def added(to: np.ndarray, uid: np.ndarray, value: np.ndarray, text: np.ndarray = text) -> np.ndarray:
+                return to + np.bincount(np.searchsorted(text, uid), value, minlength=len(text))
+
+            n_known, base, score = n_known[order], base[order], score[order]
+            _, uid, value = unpacked(part, OF_PAIR, "qd")
+            score = added(score, uid, value)
+            _, uid, times, more_base, value = unpacked(part, OF_WORD, "qddd")
+            n_known, base, score = added(n_known, uid, times), added(base, uid, more_base), added(score, uid, value)
+            _, uid, at, w, more = unpacked(part, OF_SPLIT, "qqdd")
+            by = np.lexsort((at, uid))
+            uid, at, w, more = uid[by], at[by], w[by], more[by]
+            first = np.flatnonzero((np.diff(uid, prepend=-1) != 0) | (np.diff(at, prepend=-1) != 0))
+            if len(first):
+                w, more = np.add.reduceat(w, first), np.fmax.reduceat(more, first)
+                score = added(score, uid[first], np.where(np.isnan(more), once(w), more))
+            ids = pa.array(doc_id[order], mask=has_id[order] == 0)
+            out = [ids, pa.array(n_tokens[order]), pa.array(n_known.astype(np.int64)), pa.array(base), pa.array(score)]
+            yield from _sent(pa.RecordBatch.from_arrays(out, names=["doc_id", "n_tokens", "n_known", "base_score", "score"]))
+
+    # What is known only of rare words and pairs, and what texts ask of them, meets in buckets; the answers
+    # meet the texts in buckets of their own.  A pair that may occur once and has rare words asks for itself and
+    # for what each of these words adds to the weight; other pairs' frequent words are known where they are answered.
+    # A text's number comes from the task that also makes what it asks, so a task run again stays in step.
     trained = F.lit(False) if trained is None else F.coalesce(trained, F.lit(False))
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), trained.alias("trained"))
-    rows = docs.mapInArrow(read, "uid long, key long, times long, at long, l double, r double, totals struct<doc_id:bigint,n_tokens:bigint,n_known:bigint,base:double,score:double>")
-    zero, none = F.lit(0.0), F.lit(None).cast("double")
-    known_words = prices.where(~often).select(F.col("h").alias("key"), F.lit(1).alias("k"), (F.log10(F.col("n") + 1.0) + float(unseen)).alias("x"), "p", "room")
-    known_pairs = more_of.where(F.col("c") < least_pair).select("key", F.lit(0).alias("k"), zero.alias("x"), F.col("more").alias("p"), none.alias("room"))
-    # each key once on the right, so its part of a task is as small as the task's part of the keys
-    found = rows.join(known_words.unionByName(known_pairs).hint("shuffle_hash"), "key", "left")
-    times, word, pair, whole = F.abs("times"), F.col("times") > 0, F.col("times") < 0, F.col("at") < 4
-    single, key = (F.col("at") == 3) & F.col("p").isNull(), F.col("key")
-    near = prices.where(often).select("h", "p", "room").union(spark.range(1).select("id", F.lit(float(top_p[0])), F.lit(float(top_room[0]))))
-    found = found.withColumns({"ka": F.when(single, F.floor(key / F.lit(most + 1))), "kb": F.when(single, key % (most + 1))})
-    for side, value, name in (("ka", "room", "of_a"), ("kb", "p", "of_b")):
-        found = found.join(F.broadcast(near.select(F.col("h").alias(side), F.col(value).alias(name))), side, "left")
-
-    def once(w: Column) -> Column:
-        return F.log10(1 + own / F.pow(F.lit(10.0), w))
-
-    def or_none(value: Column) -> Column:
-        return F.coalesce(value, zero)
-
-    back_off = F.col("p") + F.col("room") - (F.col("x") - float(unseen))
-    of_word = times * F.coalesce(back_off, F.lit(unknown)) + or_none(once(F.col("l") + F.col("p"))) + or_none(once(F.col("room") + F.col("r")))
-    of_pair = F.when(whole, times * F.coalesce("p", once(F.col("of_a") + F.col("of_b")), zero)).otherwise(zero)
-    side = F.col("at").bitwiseAND(3)
-    weight = F.when(side == 1, F.col("room")).when(side == 2, F.col("p")).when(pair, F.col("l"))
-    parts = found.groupBy("uid", F.shiftright("at", 2).alias("at")).agg(
-        F.max("totals.doc_id").alias("doc_id"), F.max("totals.n_tokens").alias("n_tokens"),
-        F.sum(F.coalesce("totals.n_known", F.lit(0)) + F.when(word, times * F.coalesce("k", F.lit(0))).otherwise(0)).alias("n_known"),
-        F.sum(or_none(F.col("totals.base")) + F.when(word, times * F.coalesce("x", F.lit(float(unseen)))).otherwise(zero)).alias("base"),
-        F.sum(or_none(F.col("totals.score")) + F.when(word, of_word).when(pair, of_pair).otherwise(zero)).alias("score"),
-        F.sum(F.when(~whole, weight)).alias("w"), F.sum(F.when(~whole & pair, F.col("p"))).alias("more"),
-    )
-    value = F.when(whole, F.col("score")).otherwise(F.coalesce("more", once(F.col("w"))))
-    out = parts.groupBy("uid").agg(
-        F.max("doc_id").alias("doc_id"), F.max("n_tokens").alias("n_tokens"), F.sum("n_known").alias("n_known"), F.sum("base").alias("base_score"), F.sum(value).alias("score"),
-    )
-    return out.select("doc_id", "n_tokens", F.col("n_known").cast("long").alias("n_known"), "base_score", "score")
+    rare = prices.where(~often).select("h", "n", "p", "room").mapInArrow(known_words, _packets.SCHEMA)
+    pairs = more_of.where(F.col("c") < least_pair).select("key", "more").mapInArrow(known_pairs, _packets.SCHEMA)
+    asked = docs.mapInArrow(read, _packets.SCHEMA).unionByName(rare).unionByName(pairs)
+    answers = dealt(asked).mapInArrow(answered, _packets.SCHEMA)
+    return dealt(answers).mapInArrow(summed, "doc_id long, n_tokens long, n_known long, base_score double, score double")
 
 
 def perplexity(scored: DataFrame) -> DataFrame:

@@ -6,10 +6,11 @@ import zlib
 
 import brute
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from foliant.llm import neighbours, pitman_yor, rules, toxicity
+from foliant.llm import _packets, neighbours, pitman_yor, rules, toxicity
 
 DATA = "/root/testdata/sf0.01"
 EDGES = [(900001, None), (900002, ""), (900003, " \n\t "), (900004, "word " * 30000), (900005, "tie tie"), (900005, "tie tie"), (None, "no id")]
@@ -181,6 +182,17 @@ def test_language_model_has_every_pair(spark, monkeypatch, full):
         assert all(k == i and math.isclose(x, y, rel_tol=1e-9) for (k, x), (i, y) in zip(got, want, strict=True))
 
 
+def test_language_model_has_the_first_pairs_of_a_slice(spark, monkeypatch):
+    monkeypatch.setattr(pitman_yor, "FREQUENT", 3)
+    lines = ["rare1 rare2 rare3 the cat", *["the cat sat on the mat", "a dog sat on a cat"] * 10]
+    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string").coalesce(1)
+    model, vocabulary = pitman_yor.fit(docs)
+    want = {r.doc_id: r.score for r in pitman_yor.score(docs, model, vocabulary).collect()}
+    few, words = pitman_yor.fit(docs, others=docs.limit(0))
+    got = {r.doc_id: r.score for r in pitman_yor.score(docs, few, words, trained=F.lit(True)).collect()}
+    assert all(math.isclose(got[k], want[k], rel_tol=1e-9) for k in want)
+
+
 def test_language_model_of_nothing(spark, frames):
     docs, _ = frames
     model, vocabulary = pitman_yor.fit(docs.limit(0))
@@ -189,6 +201,47 @@ def test_language_model_of_nothing(spark, frames):
     assert pitman_yor.score(docs.limit(0), model, vocabulary).count() == 0
 
 
+def test_pairs_go_through_shuffles_in_packets(spark, monkeypatch):
+    monkeypatch.setattr(pitman_yor, "FREQUENT_PAIRS", 3)
+    rng = np.random.default_rng(1)
+    rows = [(k, " ".join(f"w{x}" for x in rng.integers(0, 400, 100))) for k in range(1500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    held = F.col("doc_id") % 7 == 2
+    store = spark.sparkContext._jsc.sc().statusStore()
+
+    def shuffled():
+        """Rows that each stage so far has sent."""
+        none = spark._jvm.java.util.ArrayList()
+        stages = store.stageList(none, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), none)
+        return {s.stageId(): s.shuffleWriteRecords() for s in (stages.apply(k) for k in range(stages.size()))}
+
+    before = set(shuffled())
+    model, vocabulary = pitman_yor.fit(docs.where(~held), others=docs.where(held))
+    assert len(pitman_yor.score(docs, model, vocabulary, trained=~held).collect()) == 1500
+    # over 90,000 pairs are counted, and most of 150,000 are looked up
+    assert max(n for k, n in shuffled().items() if k not in before) < 20_000
+
+
+def test_packets_are_what_was_packed(monkeypatch):
+    rng = np.random.default_rng(0)
+    key, n, x = rng.integers(-(2**63), 2**63, 5000), rng.integers(0, 9, 5000), rng.normal(size=5000)
+    x[::7] = np.nan
+    bucket = _packets.place(key, 64)
+    batches = [*_packets.packed(3, bucket, key, n, x), *_packets.packed(3, bucket, key, 0 * n, x), *_packets.packed(2, bucket, 0 * n)]
+    assert list(_packets.packed(1, bucket[:0], key[:0])) == []
+    dealt = pa.Table.from_batches(batches).sort_by([("bucket", "ascending"), ("kind", "ascending")]).combine_chunks().to_batches()
+    monkeypatch.setattr(_packets, "LIMIT", 1 << 12)
+    parts = list(_packets.whole(iter(dealt)))
+    got = [_packets.unpacked(part, 3, "qqd") for part in parts]
+    assert len(got) > 3 and sum(len(set(g[0])) for g in got) == 64  # no bucket is cut
+    of, k, m, y = (np.concatenate(c) for c in zip(*got, strict=True))
+    assert np.array_equal(of, _packets.place(k, 64))
+    at, want = np.lexsort((m, k)), np.lexsort((np.append(n, 0 * n), np.append(key, key)))
+    for c, w in ((k, np.append(key, key)), (m, np.append(n, 0 * n)), (y, np.append(x, x))):
+        assert np.array_equal(c[at], w[want], equal_nan=c.dtype == float)
+    assert sum(len(_packets.unpacked(part, 2, "q")[1]) for part in parts) == 5000
+
+
 def test_statistics_equal_brute_force(spark, frames):
     docs, _ = frames
     texts = ["a\na\n b\na ", "x y z " * 9, "\n\n", "é€ é€", "one two three four five six seven eight one two three four five six seven eight", None]
