@@ -43,6 +43,15 @@ def records_of(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+#: Documents in a batch of XML, at most.
+BATCH_ROWS = 400
+
+
+def batch_of(number: Column) -> Column:
+    """The batch of a document: neighbours by number, so that there are more batches in a larger table and not larger ones."""
+    return F.floor(number / BATCH_ROWS)
+
+
 def papers_of(spark: SparkSession, d: str) -> DataFrame:
     return t(spark, d, "labels").where("quality = 1").select(F.col("doc_id").alias("pmid"), "toxic")
 
@@ -395,7 +404,7 @@ def q44_parse_records(spark, d):
         "doc_id", 2000 + F.col("doc_id") % 20, "lang", "source",
     )
     body = F.concat(F.lit("<PubmedArticleSet>"), F.array_join(F.collect_list(xml), ""), F.lit("</PubmedArticleSet>"))
-    landing = t(spark, d, "documents").groupBy((F.col("doc_id") % 8).cast("string").alias("batch_id")).agg(body.cast("binary").alias("payload")).withColumn("kind", F.lit("pubmed"))
+    landing = t(spark, d, "documents").groupBy(batch_of(F.col("doc_id")).cast("string").alias("batch_id")).agg(body.cast("binary").alias("payload")).withColumn("kind", F.lit("pubmed"))
     p = F.col("pubmed")
     return records.read_records(landing).select(p["pmid"].alias("pmid"), p["title"].alias("title"), p["journal"].alias("journal"), p["pub_year"].alias("year"))
 

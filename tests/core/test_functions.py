@@ -1,4 +1,5 @@
 import sys
+import tracemalloc
 from datetime import date
 from pathlib import Path
 
@@ -131,6 +132,27 @@ def test_what_can_be_read_of_a_broken_record_is_kept():
     assert a["sections"] == [{"type": "discussion", "title": "Discussion", "text": "a b < c\n\nx < y"}] and a["license"] == "CC BY-NC"
 
 
+def test_large_batches_are_read_record_by_record(monkeypatch):
+    odd = ["<article>a<article>b</article> tail</article>\n", "<article/>", "<!-- <article> -->", "<p><article>c</article></p>", "<x:article xmlns:x='u'/>", "<article>&nbsp;</article>", "<article>cut"]
+    for n in range(1, len(odd) + 1):
+        for xml in (f"<?xml version='1.0'?><r>{''.join(odd[:n])}</r>", "".join(odd[:n])):
+            monkeypatch.undo()
+            want = [(el.text, raw) for el, raw in records.elements(xml, "article")]
+            monkeypatch.setattr(records, "WHOLE", 0)
+            for chunk in (1, 5, 1 << 16):
+                monkeypatch.setattr(records, "CHUNK", chunk)
+                assert [(el.text, raw) for el, raw in records.elements(xml, "article")] == want
+    monkeypatch.undo()
+    one = fakes.record("1", authors=20)
+    for end in (b"", b"<PubmedArticle>"):  # well formed, and not
+        xml = fakes.batch(*[one] * 3000) + end
+        tracemalloc.start()
+        assert sum(r.get("pmid") == "1" for r in records.each_record(xml)) == 3000
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 3 * len(xml)
+
+
 def test_articles():
     body = "<p>loose</p><sec sec-type='intro'><title>One</title><p>a  b</p><sec><title>In</title><p>c</p></sec></sec><sec><title>Outcomes</title></sec>"
     (a,) = records.full_texts(fakes.articles(fakes.article("1", "PMC1", body)))

@@ -39,3 +39,17 @@ def test_reference_marks_are_cut_in_whole_texts(spark, con):
     got = {r.doc_id: r.v for r in queries.QUERIES["q21_reference_marks"](spark, str(DATA)).collect()}
     for doc, n in con.sql("SELECT doc_id, length(text) FROM documents").fetchall():
         assert n < 200 or len(got[doc]) > 150
+
+
+@pytest.fixture
+def larger(spark, tmp_path):
+    """A table of more documents than the smallest has."""
+    docs = spark.range(3000).selectExpr("id AS doc_id", "'x' AS text", "'en' AS lang", "concat('src', id % 7) AS source", "1L AS n_chars")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    return str(tmp_path)
+
+
+def test_a_larger_table_has_more_batches_and_not_larger_ones(spark, larger):
+    for xml, tag in ((record_queries.RECORD, "<PubmedArticle>"), (record_queries.ARTICLE, "<article>")):
+        found = [bytes(r.payload).decode().count(tag) for r in record_queries.landing(spark, larger, xml).collect()]
+        assert sum(found) == 3000 and max(found) <= queries.BATCH_ROWS
