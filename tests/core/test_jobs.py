@@ -16,7 +16,7 @@ from foliant.operators import corpus, search
 from foliant.plans import jobs
 from foliant.plans.config import IngestConfig, build_query, incremental_term
 from foliant.schemas import CORPUS_CONFIG, PAPER
-from foliant.sources import remote, snapshot
+from foliant.sources import mirror, remote, snapshot
 from foliant.sources.tables import Store
 from foliant.streaming.ingest import ingest
 
@@ -101,6 +101,34 @@ def test_fetch(store):
     assert jobs.reparse(store) == 6 and store.read("paper").count() == 4
 
 
+def test_a_bulk_client_gives_the_same_as_one_call_after_the_other(store, spark, tmp_path):
+    held = [str(k) for k in range(1, 12)]
+    found = {p: record(p, pmc=p if int(p) % 2 else None) for p in held}
+    full, links = {p: article(p, f"PMC{p}", "" if p == "3" else "<p>x</p>") for p in held if int(p) % 5}, {p: f"PMC{p}" for p in held if int(p) % 4 == 0}
+    walked = mirror.Mirror(found, full, links)
+    tables = mirror.Tables(spark.createDataFrame([*found.items()], "pmid string, xml string"), spark.createDataFrame([*full.items()], "id string, xml string"), spark.createDataFrame([*links.items()], "pmid string, pmc_id string"))
+    assert isinstance(tables, remote.Bulk) and not isinstance(walked, remote.Bulk)
+    other = Store(spark, f"file://{tmp_path}/bulk")
+    for relink in (False, True):
+        got = [(jobs.sync(s, c, CONFIG, full=True), jobs.fetch_fulltext(s, c, CONFIG, retry=relink, relink=relink)) for s, c in ((store, walked), (other, tables))]
+        assert got[0] == got[1] and got[0][1]["ok"] > 0
+        columns = ["pmid", "pubmed_xml", "pubmed", "entry_date", "pub_year", "pmc_id", "is_retracted", "fetch_failed"]
+        assert sorted(store.read("abstract").select(columns).collect()) == sorted(other.read("abstract").select(columns).collect())
+        assert sorted(store.read("paper").collect(), key=str) == sorted(other.read("paper").collect(), key=str)
+    pages = other.landed().where("kind = 'pubmed'").collect()
+    assert len(pages) > 2 and max(bytes(r.payload).count(b"<PubmedArticle>") for r in pages) <= CONFIG.batch_size
+    assert jobs.sync(other, tables, IngestConfig("q", "a@b.c", "t", rate_limit=0, batch_size=2, max_records=5), full=True) == 5
+    # the single calls
+    assert sorted(tables.fetch_batch("", "", 2, 3).decode()) == sorted(mirror.Mirror({p: found[p] for p in sorted(held)}).fetch_batch("", "", 2, 3).decode())
+    assert tables.fetch_pmids(["4"]) == walked.fetch_pmids(["4"]) and tables.fetch_pmc(["PMC4"]) == walked.fetch_pmc(["PMC4"]) and tables.elink_pmcid("8") == "PMC8" and tables.elink_pmcid("3") is None
+
+
+def test_a_queue_is_read_batch_by_batch():
+    ids = iter(range(10))
+    assert next(remote.batches(ids, 3)) == [0, 1, 2] and next(ids) == 3
+    assert [*remote.batches("abcde", 2)] == [["a", "b"], ["c", "d"], ["e"]]
+
+
 def test_interrupted_fetch_keeps_what_is_settled(store):
     class Interrupted(FakeClient):
         def fetch_pmc(self, ids):

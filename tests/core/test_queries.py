@@ -4,6 +4,7 @@ from pathlib import Path
 
 import duckdb
 import pytest
+from pyspark.sql.classic.dataframe import DataFrame
 
 from foliant import queries, record_queries  # noqa: F401  the second adds its queries to the first's
 
@@ -53,3 +54,22 @@ def test_a_larger_table_has_more_batches_and_not_larger_ones(spark, larger):
     for xml, tag in ((record_queries.RECORD, "<PubmedArticle>"), (record_queries.ARTICLE, "<article>")):
         found = [bytes(r.payload).decode().count(tag) for r in record_queries.landing(spark, larger, xml).collect()]
         assert sum(found) == 3000 and max(found) <= queries.BATCH_ROWS
+
+
+def test_jobs_bring_no_records_to_the_driver(spark, larger, monkeypatch):
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{larger}/documents.parquet/*.parquet'")
+    seen, collect = [0], DataFrame.collect
+
+    def counted(frame):
+        rows = collect(frame)
+        seen.append(len(rows))
+        return rows
+
+    monkeypatch.setattr(DataFrame, "collect", counted)
+    monkeypatch.setattr(DataFrame, "toLocalIterator", lambda *_: pytest.fail("a table is walked on the driver"))
+    got = queries.QUERIES["q71_promote_and_relink"](spark, larger)
+    assert max(seen) < 100
+    monkeypatch.undo()
+    want = con.sql(f"SELECT pmid, pmc_id, fetch_failed, status FROM ({queries.ORACLES['q71_promote_and_relink']})").fetchall()
+    assert sorted(map(tuple, got.select("pmid", "pmc_id", "fetch_failed", "status").collect()), key=str) == sorted(want, key=str)
