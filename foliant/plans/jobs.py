@@ -22,7 +22,7 @@ from foliant.operators import corpus
 from foliant.plans.config import IngestConfig, build_query, incremental_term
 from foliant.schemas import CORPUS_CONFIG, FULLTEXT, LANDING, OWNERS
 from foliant.sources import snapshot
-from foliant.sources.remote import Bulk, Client, PageSource, batches, offsets
+from foliant.sources.remote import Bulk, Client, PageSource, batches, offsets, scan
 from foliant.sources.tables import Store
 
 log = logging.getLogger(__name__)
@@ -158,14 +158,21 @@ def sync(
     return n
 
 
-def sync_by_source(store: Store, config: IngestConfig, term: str | None = None, client: str | None = None) -> int:
+def sync_by_source(store: Store, config: IngestConfig, term: str | None = None, client: str | None = None, searches: DataFrame | None = None) -> int:
     """A whole pull with the pages read and landed by Spark, in one job; how many records were read.
 
-    client: module:function that makes a client of the config, instead of the public service's.  As
-    the pages are one job's, a failure lands none of them.  The service's key isn't sent along.
+    client: module:function that makes a client of the config, instead of the public service's.
+    searches: the definition in parts (see remote.scan), which are read side by side if there is no
+    rate to keep; without them one task reads all pages.  As the pages are one job's, a failure
+    lands none of them.  The service's key isn't sent along.
     """
+    if searches is not None and config.max_records:
+        raise ValueError("a cap on records holds for one search, not for parts of it")
     record_definition(store, config)
     run = _new_run()
+    if searches is not None:
+        store.land(scan(searches, config, client, term, batch_id=run))
+        return merge_records(store, store.landed(run))
     store.spark.dataSource.register(PageSource)
     options = {"config": json.dumps(config.recorded()), "term": term or build_query(config), "batch_size": str(config.batch_size), "batch_id": run}
     options |= {k: v for k, v in (("client", client), ("max_records", config.max_records and str(config.max_records))) if v}

@@ -28,6 +28,7 @@ class Mirror:
 
     def __init__(self, records: Mapping[str, str], articles: Mapping[str, str] | None = None, links: Mapping[str, str] | None = None):
         self.records, self.articles, self.links = dict(records), dict(articles or {}), dict(links or {})
+        self.order = [*self.records]
 
     def search_history(self, term: str) -> SearchResult:
         return SearchResult(len(self.records), "mirror", "1", term)
@@ -36,7 +37,7 @@ class Mirror:
         return len(self.records)
 
     def fetch_batch(self, webenv: str, query_key: str, retstart: int, retmax: int) -> bytes:
-        return self._set([*self.records][retstart : retstart + retmax])
+        return self._set(self.order[retstart : retstart + retmax])
 
     def fetch_pmids(self, pmids: list[str]) -> bytes:
         return self._set(pmids)
@@ -112,6 +113,6 @@ def _page(at: Column, size: int) -> Column:
 
 def listed(config: IngestConfig) -> Mirror:
     """A mirror of the records that the query lists, number=title with commas between, each with an
-    article of that text; the client that the page source makes of such a config."""
+    article of that text; the client that the page source or a scan makes of such a config."""
     pairs = [x.partition("=")[::2] for x in config.query.split(",")]
     return Mirror({p: RECORD.format(p, escape(t)) for p, t in pairs}, {p: ARTICLE.format(p, escape(t)) for p, t in pairs}, {p: f"PMC{p}" for p, _ in pairs})

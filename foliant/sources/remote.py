@@ -1,4 +1,4 @@
-"""The remote index: a client, its pacing, and a Spark data source of its pages."""
+"""The remote index: a client, its pacing, a Spark data source of its pages, and scans of many searches."""
 
 from __future__ import annotations
 
@@ -14,12 +14,14 @@ from itertools import islice
 from typing import Protocol, runtime_checkable
 from xml.etree import ElementTree as ET
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from foliant.plans.config import IngestConfig
+from foliant.plans.config import IngestConfig, build_query
 
 BASE = "https://eutils.ncbi.nlm.nih.gov/entrez/eutils/"
+PAGES = "batch_id string, seq int, kind string, payload binary, landed_at timestamp"
 ATTEMPTS, FIRST_WAIT, LONGEST_WAIT = 5, 2.0, 60.0
 
 
@@ -142,6 +144,16 @@ def offsets(total: int, size: int) -> list[tuple[int, int]]:
     return [(k, min(size, total - k)) for k in range(0, total, size)]
 
 
+def _id_calls(kind: str, ids: list[str], size: int) -> list[tuple[str, tuple]]:
+    return [("fetch_pmc" if kind == "pmc" else "fetch_pmids", (ids[a : a + n],)) for a, n in offsets(len(ids), size)]
+
+
+def _search_calls(client: Client, term: str, size: int, most: str | None = None) -> list[tuple[str, tuple]]:
+    found = client.search_history(term)
+    total = min(found.count, int(most)) if most else found.count
+    return [("fetch_batch", (found.webenv, found.query_key, a, n)) for a, n in offsets(total, size)]
+
+
 class Page(InputPartition):
     def __init__(self, batch_id: str, calls: list[tuple[str, tuple]]):
         self.batch_id, self.calls = batch_id, calls
@@ -156,14 +168,10 @@ class PageReader(DataSourceReader):
 
     def partitions(self) -> list[InputPartition]:
         o, size = self.options, int(self.options.get("batch_size", 200))
-        kind = o.get("kind", "pubmed")
         if "ids" in o:
-            ids = [i for i in o["ids"].split(",") if i]
-            calls = [("fetch_pmc" if kind == "pmc" else "fetch_pmids", (ids[a : a + n],)) for a, n in offsets(len(ids), size)]
+            calls = _id_calls(o.get("kind", "pubmed"), [i for i in o["ids"].split(",") if i], size)
         else:
-            found = make_client(o).search_history(o["term"])
-            total = min(found.count, int(o["max_records"])) if o.get("max_records") else found.count
-            calls = [("fetch_batch", (found.webenv, found.query_key, a, n)) for a, n in offsets(total, size)]
+            calls = _search_calls(make_client(o), o["term"], size, o.get("max_records"))
         return [Page(o.get("batch_id", "batch"), calls)]
 
     def read(self, partition: Page) -> Iterator[tuple]:
@@ -181,7 +189,7 @@ class PageSource(DataSource):
         return "corpus_pages"
 
     def schema(self) -> str:
-        return "batch_id string, seq int, kind string, payload binary, landed_at timestamp"
+        return PAGES
 
     def reader(self, schema) -> PageReader:
         return PageReader(dict(self.options))
@@ -197,6 +205,41 @@ def make_client(options: dict) -> Client:
     return HttpClient(config)
 
 
+def each(searches: DataFrame, config: IngestConfig, client: str | None, answer: Callable[[Client, dict], Iterator[list[tuple]]], schema: str) -> DataFrame:
+    """Rows that clients answer to searches, each search in one task by a client of its own.
+
+    A search is a row with the query to put in the config's place, and whatever answer(client, row)
+    reads of it.  Tasks run side by side if the config has no rate to keep, else all is one task's.
+    """
+    given, n = config.recorded(), 4 * searches.sparkSession.sparkContext.defaultParallelism
+    columns = [f.split()[0] for f in schema.split(",")]
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for row in frame.to_dict("records"):
+                made = make_client({"config": json.dumps(given | {"query": row["query"]})} | ({"client": client} if client else {}))
+                for rows in answer(made, row):
+                    yield pd.DataFrame(rows, columns=columns)
+
+    return (searches.coalesce(1) if config.rate_limit else searches.repartition(n)).mapInPandas(run, schema)
+
+
+def scan(searches: DataFrame, config: IngestConfig, client: str | None = None, term: str | None = None, kind: str = "pubmed", batch_id: str = "batch") -> DataFrame:
+    """The pages of searches (number: digits, another for each, query), by the term or else the query's own.
+
+    With a column ids those are fetched instead, as articles if kind is pmc.
+    """
+
+    def answer(made: Client, row: dict) -> Iterator[list[tuple]]:
+        own = IngestConfig(**config.recorded() | {"query": row["query"]})
+        ids = row.get("ids")
+        calls = _search_calls(made, term or build_query(own), own.batch_size) if ids is None else _id_calls(kind, [*ids], own.batch_size)
+        for k, (name, values) in enumerate(calls):
+            yield [(f"{batch_id}-{row['number']}{k:06d}", k, kind, getattr(made, name)(*values), datetime.now(timezone.utc))]
+
+    return each(searches, config, client, answer, PAGES)
+
+
 def batches(ids: Iterable, size: int) -> Iterator[list]:
     ids = iter(ids)
     while part := list(islice(ids, size)):

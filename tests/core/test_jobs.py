@@ -308,6 +308,15 @@ def test_sync_by_source(store):
     assert jobs.sync_by_source(store, capped, client="fakes:client_of") == 3
 
 
+def test_sync_by_source_in_parts(store, spark):
+    searches = spark.createDataFrame([(f"{k:03d}", ",".join(f"{n}=title {n}" for n in range(10 * k, 10 * k + 10))) for k in range(20)], "number string, query string")
+    assert jobs.sync_by_source(store, CONFIG, "x", "foliant.sources.mirror:listed", searches) == 200
+    assert {r.pmid: r.title for r in store.read("abstract").select("pmid", "pubmed.title").collect()} == {str(n): f"title {n}" for n in range(200)}
+    assert store.landed().count() == 100 and len(store.landed().inputFiles()) > 1 and store.read("corpus_config").count() == 1
+    with pytest.raises(ValueError):
+        jobs.sync_by_source(store, IngestConfig("q", "a@b.c", "t", max_records=3), searches=searches)
+
+
 def test_client_paces_and_retries():
     now, slept = [0.0], []
 

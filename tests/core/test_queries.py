@@ -6,7 +6,9 @@ import duckdb
 import pytest
 from pyspark.sql.classic.dataframe import DataFrame
 
-from foliant import queries, record_queries  # noqa: F401  the second adds its queries to the first's
+from foliant import queries, record_queries  # the second adds its queries to the first's
+from foliant.plans.config import IngestConfig
+from foliant.sources import remote
 
 DATA = Path("/root/testdata/sf0.001")
 
@@ -73,3 +75,19 @@ def test_jobs_bring_no_records_to_the_driver(spark, larger, monkeypatch):
     monkeypatch.undo()
     want = con.sql(f"SELECT pmid, pmc_id, fetch_failed, status FROM ({queries.ORACLES['q71_promote_and_relink']})").fetchall()
     assert sorted(map(tuple, got.select("pmid", "pmc_id", "fetch_failed", "status").collect()), key=str) == sorted(want, key=str)
+
+
+def test_searches_are_read_side_by_side(spark, larger, monkeypatch):
+    monkeypatch.setattr(DataFrame, "collect", lambda *_: pytest.fail("a table is listed on the driver"))
+    frame = queries.QUERIES["q65_paged_scan"](spark, larger)
+    monkeypatch.undo()
+    assert frame.rdd.getNumPartitions() > 1
+    assert sorted(int(r.pmid) for r in frame.collect()) == [*range(3000)]
+    pages = record_queries._scan(spark, larger, term="x").collect()
+    assert max(bytes(r.payload).count(b"<PubmedArticle>") for r in pages) == 100 and len({r.batch_id for r in pages}) == len(pages)
+
+
+def test_a_scan_with_a_rate_to_keep_is_one_task(spark, larger):
+    config = IngestConfig("documents", "a@b.c", "t", rate_limit=1000, batch_size=100)
+    pages = remote.scan(record_queries._searches(spark, larger).drop("ids"), config, record_queries.LISTED, "x")
+    assert pages.rdd.getNumPartitions() == 1 and pages.count() == 30
